@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 from .decontaminate import op6_decontaminate
+from .packing import op10_best_fit_packing
+from .pii import op1_pii
+from .token_counts import op2_token_counts
 from .url_filter import OP3_SQL, op3_url_filter
 from .warc import op5_warc
 
 QUERIES = {
+    "op1_pii": op1_pii,
+    "op2_token_counts": op2_token_counts,
     "op3_url_filter": op3_url_filter,
     "op5_warc": op5_warc,
     "op6_decontaminate": op6_decontaminate,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 OP5_SQL = r"""
