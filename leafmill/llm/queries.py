@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op6_decontaminate
+from .lang_id import op4_language_id
 from .packing import op10_best_fit_packing
 from .pii import op1_pii
 from .token_counts import op2_token_counts
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_pii": op1_pii,
     "op2_token_counts": op2_token_counts,
     "op3_url_filter": op3_url_filter,
+    "op4_language_id": op4_language_id,
     "op5_warc": op5_warc,
     "op6_decontaminate": op6_decontaminate,
     "op10_best_fit_packing": op10_best_fit_packing,
