@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op6_decontaminate
 from .lang_id import op4_language_id
+from .near_dedup import op7_minhash_dedup
 from .packing import op10_best_fit_packing
 from .pii import op1_pii
 from .token_counts import op2_token_counts
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_warc": op5_warc,
     "op6_decontaminate": op6_decontaminate,
+    "op7_minhash_dedup": op7_minhash_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
