@@ -14,14 +14,15 @@ their smallest doc_id.
    centre, the member whose values are most widely shared.
 4. The union sketch estimates each pair's similarity and drops what can't be linked;
    the exact Jaccard similarity of the full sets confirms the others.
-5. What is left of long lists.  Members linked with the centre are one component.  If x
-   isn't, and links with y, then x and y differ from the centre in a common shingle:
-   else their differences would add up, and leave them as far from each other as x is
-   from the centre.  So members are listed anew under the shingles in which they differ
-   from their centre (as many of the smallest as the same prefix bound asks for), lists
-   of linked members only are dropped, and the round is repeated.  Members far from
-   their centre stay in their list, which gets another centre.  After ``ROUNDS`` rounds
-   a list that is still long gives all its pairs, so nothing is lost.
+5. What is left of a long list.  Members linked with the centre are one component.  A
+   far member x can link with y only if they share more than half of y's differences
+   from the centre: else their differences would add up, and leave them as far from
+   each other as x is from the centre.  So differences are listed, rarest first again
+   and as many as such an overlap asks for, and pairs that meet there are compared
+   exactly, by their differences from the common centre alone.
+6. Members hardly similar to their centre stay in their list, which gets another centre
+   in the next round.  After ``ROUNDS`` rounds a list that is still long gives all its
+   pairs, so nothing is lost.
 
 Defined cases: null, empty and word-less texts have an empty set (n_shingles 0) and
 link with nothing; rows with a null doc_id link with nothing, have a null component
@@ -49,12 +50,13 @@ SKETCH = 48
 OVERLAP = 26
 #: Sets of so many shingles, and all sets that can link with them, are whole in their sketches.
 WHOLE = 40
+#: Lists of up to so many members, twice as many each round, give all their pairs.
 SHORT = 8
-ROUNDS = 6
+ROUNDS = 5
 #: A star's pair is looked into if the estimate is at least this; below, the member stays in its list.
-FAR = 0.2
+FAR = 0.06
 #: A member this similar to the centre leaves the list: what links with it is looked into as well.
-CLOSE = 0.6
+CLOSE = 0.4
 #: Up to so many ids (8 bytes each) are broadcast to fetch texts; more are joined by shuffling.
 BROADCAST_IDS = 500_000
 
@@ -151,22 +153,28 @@ def _links(docs: DataFrame, classes: DataFrame, repeated: bool, percent: int, wo
     found: DataFrame | None = None
     for turn in range(ROUNDS + 1):
         last = turn == ROUNDS
-        long = F.lit(False) if last else F.col("size") > SHORT
+        long = F.lit(False) if last else F.col("size") > (SHORT << turn)
         few, many = lists.filter(~long), lists.filter(long)
         other = few.select("key", F.col("u").alias("w"))
         pairs = few.select("key", "u").join(other, "key").filter("u < w").select(F.col("u").alias("a"), F.col("w").alias("b"), F.lit(False).alias("star"))
         star = many.filter("u <> centre").select(F.col("u").alias("a"), F.col("centre").alias("b"), F.lit(True).alias("star"))
-        judged = materialize(_judged(pairs.unionByName(star).distinct(), small, sets, percent, turn), "judged")
+        judged = materialize(_judged(pairs.unionByName(star).distinct(), small, sets, percent), "judged")
         new = judged.filter("linked").select("a", "b")
         found = new if found is None else found.unionByName(new)
         if last or many.isEmpty():
             break
-        lists = _met(_left(many, judged.filter("star")))
+        stars = judged.filter("star")
+        found = found.unionByName(materialize(_around(stars, percent), "around"))
+        close = stars.filter("close").select(F.col("a").alias("u"), F.col("b").alias("centre"))
+        rest = many.filter("u <> centre").join(close, ["u", "centre"], "left_anti")
+        lists = _met(rest.select("key", "u", "score"))
+        if lists.isEmpty():
+            break
     return found
 
 
-def _judged(pairs: DataFrame, small: DataFrame, sets: DataFrame, percent: int, turn: int) -> DataFrame:
-    """a, b, star, linked, close, diff of the pairs that the estimate lets through."""
+def _judged(pairs: DataFrame, small: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b, star, linked, close and, for stars, the sizes and differences of the pairs that the estimate lets through."""
     one = lambda d, x, c: d.select(F.col("u").alias(x), F.col(c).alias(f"{c}_{x}"))
     near = pairs.join(one(small, "a", "sketch"), "a").join(one(small, "b", "sketch"), "b")
     union = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, SKETCH)
@@ -176,26 +184,45 @@ def _judged(pairs: DataFrame, small: DataFrame, sets: DataFrame, percent: int, t
         F.when(F.col("star"), shared >= FAR * of).otherwise(shared * SKETCH >= OVERLAP * of)
     ).select("a", "b", "star")
     full = near.join(one(sets, "a", "set"), "a").join(one(sets, "b", "set"), "b")
-    inter = F.size(F.array_intersect("set_a", "set_b")).cast("long")
-    full = full.withColumn("_i", inter).withColumn("_u", F.size("set_a") + F.size("set_b") - F.col("_i"))
+    full = full.withColumn("_i", F.size(F.array_intersect("set_a", "set_b")).cast("long"))
+    full = full.withColumn("_u", F.size("set_a") + F.size("set_b") - F.col("_i"))
     linked = F.col("_i") * 100 >= F.col("_u") * percent
-    # if a links with y, at most so many shingles are in one of them only
-    room = F.floor(F.size("set_a") * (100 - percent) / percent).cast("int") + 2
-    diff = F.slice(F.array_sort(F.concat(F.array_except("set_a", "set_b"), F.array_except("set_b", "set_a"))), F.lit(1), room)
+    mine = lambda c: F.when(F.col("star"), c)
     return full.select(
-        "a", "b", "star", linked.alias("linked"), (F.col("_i") >= CLOSE * F.col("_u")).alias("close"),
-        F.when(F.col("star"), diff).otherwise(F.lit(None).cast("array<bigint>")).alias("diff"),
+        "a", "b", "star", linked.alias("linked"), (F.col("_i") >= CLOSE * F.col("_u")).alias("close"), F.size("set_a").cast("long").alias("n"),
+        mine(F.array_except("set_a", "set_b")).alias("more"), mine(F.array_except("set_b", "set_a")).alias("less"),
     )
 
 
-def _left(many: DataFrame, stars: DataFrame) -> DataFrame:
-    """key, u, score: the lists of the next round."""
-    stay = many.filter("u <> centre").join(stars.filter("close").select(F.col("a").alias("u"), F.col("b").alias("centre")), ["u", "centre"], "left_anti")
-    stay = stay.select(F.xxhash64("key", "centre").alias("key"), "u", "score")
-    rank = F.size("diff").cast("long")
-    new = stars.select(F.xxhash64(F.lit("diff"), "b", F.explode("diff")).alias("key"), F.col("a").alias("u"), (-rank).alias("score"), "linked")
-    wanted = new.groupBy("key").agg(F.count("*").alias("c"), F.min("linked").alias("all_linked")).filter("c > 1 and not all_linked").select("key")
-    return stay.unionByName(new.join(wanted, "key", "left_semi").select("key", "u", "score")).distinct()
+def _around(stars: DataFrame, percent: int) -> DataFrame:
+    """a, b: the links of far members, found by what they and others differ in from their centre.
+
+    At least one of the two is close to the centre; of others, the next rounds take care.
+    For a far x and any y that link, with D the differences from the centre (A: more, B:
+    less), |x ^ y| = |Dx ^ Dy| gives |Dx & Dy| > ((1 - d) |Ay| + |By|) / 2, where d is the
+    largest distance of a link, and |Dx & Dy| >= |Dx| - d / (1 - d) |x|.
+    """
+    d = 1 - percent / 100
+    far = stars.groupBy("b").agg(F.count("*").alias("c"), F.count_if(~F.col("linked") & F.col("close")).alias("f")).filter("c > 1 and f > 0").select("b")
+    of = stars.join(far, "b", "left_semi").select(F.col("b").alias("c"), F.col("a").alias("u"), "n", (~F.col("linked")).alias("far"), (~F.col("linked") & F.col("close")).alias("act"), "more", "less")
+    of = of.withColumn("diff", F.concat("more", "less"))
+    half = F.size("diff") - F.floor((F.size("more") * (1 - d) + F.size("less")) / 2 - 1e-9)
+    long = F.least(F.size("diff").cast("long"), F.floor(F.col("n") * (d / (1 - d)) + 1e-9) + 1)
+    each = of.select("c", "u", "far", "act", F.size("diff").alias("k"), half.alias("half"), long.alias("long"), F.explode("diff").alias("x"))
+    common = each.groupBy("c", "x").agg(F.count("*").alias("df"), F.count_if("act").alias("f")).filter("df > 1 and f > 0").select("c", "x", "df")
+    ranked = each.join(common, ["c", "x"]).groupBy("c", "u", "far", "act", "k", "half", "long").agg(F.sort_array(F.collect_list(F.struct("df", "x"))).alias("s"))
+    # differences that no far member shares are passed over, as the rarest
+    ranked = ranked.withColumn("half", F.col("half") - F.col("k") + F.size("s")).withColumn("long", F.when(F.col("act"), F.col("long") - F.col("k") + F.size("s")).otherwise(F.col("half")))
+    ranked = ranked.select("c", "u", "far", "act", "half", F.posexplode(F.slice("s", 1, F.greatest(F.lit(0), F.greatest("half", "long")).cast("int"))).alias("at", "v"), "long")
+    listed = ranked.select("c", F.col("v.x").alias("x"), "u", "far", "act", (F.col("at") < F.col("half")).alias("in_half"), (F.col("at") < F.col("long")).alias("in_long"))
+    mate = listed.filter("in_half").select("c", "x", F.col("u").alias("w"), F.col("far").alias("w_far"), F.col("act").alias("w_act"))
+    # a far and a near member: the far one's long prefix; two far ones: their halves
+    met = listed.filter("act").join(mate, ["c", "x"]).filter("u <> w and ((not w_far and in_long) or (w_far and in_half and (u < w or not w_act)))").select("c", "u", "w").distinct()
+    facts = of.select("c", "u", "n", "diff")
+    pair = met.join(facts.withColumnsRenamed({"n": "n_u", "diff": "diff_u"}), ["c", "u"]).join(facts.withColumnsRenamed({"u": "w", "n": "n_w", "diff": "diff_w"}), ["c", "w"])
+    apart = F.size("diff_u") + F.size("diff_w") - 2 * F.size(F.array_intersect("diff_u", "diff_w"))
+    # twice the intersection and twice the union
+    return pair.filter((F.col("n_u") + F.col("n_w") - apart) * 100 >= (F.col("n_u") + F.col("n_w") + apart) * percent).select(F.col("u").alias("a"), F.col("w").alias("b"))
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
