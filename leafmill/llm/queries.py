@@ -7,6 +7,7 @@ from .lang_id import op4_language_id
 from .near_dedup import op7_minhash_dedup
 from .packing import op10_best_fit_packing
 from .pii import op1_pii
+from .suffix_dedup import op9_suffix_dedup
 from .token_counts import op2_token_counts
 from .url_filter import OP3_SQL, op3_url_filter
 from .warc import op5_warc
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op6_decontaminate": op6_decontaminate,
     "op7_minhash_dedup": op7_minhash_dedup,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
