@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op8_nearest_neighbours
 from .decontaminate import op6_decontaminate
 from .lang_id import op4_language_id
 from .near_dedup import op7_minhash_dedup
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op6_decontaminate": op6_decontaminate,
     "op7_minhash_dedup": op7_minhash_dedup,
+    "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
