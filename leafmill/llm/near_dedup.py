@@ -200,7 +200,9 @@ def _around(stars: DataFrame, percent: int) -> DataFrame:
     At least one of the two is close to the centre; of others, the next rounds take care.
     For a far x and any y that link, with D the differences from the centre (A: more, B:
     less), |x ^ y| = |Dx ^ Dy| gives |Dx & Dy| > ((1 - d) |Ay| + |By|) / 2, where d is the
-    largest distance of a link, and |Dx & Dy| >= |Dx| - d / (1 - d) |x|.
+    largest distance of a link, and |Dx & Dy| >= |Dx| - d / (1 - d) |x|.  For each pair,
+    |Dx & Dy| >= (|Dx| + |Dy| - d / (2 - d) (|x| + |y|)) / 2, which a first shared
+    difference late in the order of rarity rules out.
     """
     d = 1 - percent / 100
     far = stars.groupBy("b").agg(F.count("*").alias("c"), F.count_if(~F.col("linked") & F.col("close")).alias("f")).filter("c > 1 and f > 0").select("b")
@@ -208,16 +210,19 @@ def _around(stars: DataFrame, percent: int) -> DataFrame:
     of = of.withColumn("diff", F.concat("more", "less"))
     half = F.size("diff") - F.floor((F.size("more") * (1 - d) + F.size("less")) / 2 - 1e-9)
     long = F.least(F.size("diff").cast("long"), F.floor(F.col("n") * (d / (1 - d)) + 1e-9) + 1)
-    each = of.select("c", "u", "far", "act", F.size("diff").alias("k"), half.alias("half"), long.alias("long"), F.explode("diff").alias("x"))
+    each = of.select("c", "u", "n", "far", "act", F.size("diff").alias("k"), half.alias("half"), long.alias("long"), F.explode("diff").alias("x"))
     common = each.groupBy("c", "x").agg(F.count("*").alias("df"), F.count_if("act").alias("f")).filter("df > 1 and f > 0").select("c", "x", "df")
-    ranked = each.join(common, ["c", "x"]).groupBy("c", "u", "far", "act", "k", "half", "long").agg(F.sort_array(F.collect_list(F.struct("df", "x"))).alias("s"))
+    ranked = each.join(common, ["c", "x"]).groupBy("c", "u", "n", "far", "act", "k", "half", "long").agg(F.sort_array(F.collect_list(F.struct("df", "x"))).alias("s"))
     # differences that no far member shares are passed over, as the rarest
     ranked = ranked.withColumn("half", F.col("half") - F.col("k") + F.size("s")).withColumn("long", F.when(F.col("act"), F.col("long") - F.col("k") + F.size("s")).otherwise(F.col("half")))
-    ranked = ranked.select("c", "u", "far", "act", "half", F.posexplode(F.slice("s", 1, F.greatest(F.lit(0), F.greatest("half", "long")).cast("int"))).alias("at", "v"), "long")
-    listed = ranked.select("c", F.col("v.x").alias("x"), "u", "far", "act", (F.col("at") < F.col("half")).alias("in_half"), (F.col("at") < F.col("long")).alias("in_long"))
-    mate = listed.filter("in_half").select("c", "x", F.col("u").alias("w"), F.col("far").alias("w_far"), F.col("act").alias("w_act"))
+    ranked = ranked.select("c", "u", "n", "far", "act", "half", "long", (F.col("k") - F.size("s")).alias("alone"), "k", F.posexplode(F.slice("s", 1, F.greatest(F.lit(0), F.greatest("half", "long")).cast("int"))).alias("at", "v"))
+    # what can still be shared from a difference on, if it is the first shared one
+    listed = ranked.select("c", F.col("v.x").alias("x"), "u", "n", "k", "far", "act", (F.col("at") < F.col("half")).alias("in_half"), (F.col("at") < F.col("long")).alias("in_long"), (F.col("k") - F.col("alone") - F.col("at")).alias("left"))
+    mate = listed.filter("in_half").select("c", "x", *[F.col(v).alias(f"w_{v}") for v in ("u", "n", "k", "far", "act", "left")])
     # a far and a near member: the far one's long prefix; two far ones: their halves
-    met = listed.filter("act").join(mate, ["c", "x"]).filter("u <> w and ((not w_far and in_long) or (w_far and in_half and (u < w or not w_act)))").select("c", "u", "w").distinct()
+    kinds = "u <> w_u and ((not w_far and in_long) or (w_far and in_half and (u < w_u or not w_act)))"
+    enough = 2 * F.least("left", "w_left") >= F.col("k") + F.col("w_k") - (F.col("n") + F.col("w_n")) * (d / (2 - d)) - 1e-6
+    met = listed.filter("act").join(mate, ["c", "x"]).filter(F.expr(kinds) & enough).select("c", "u", F.col("w_u").alias("w")).distinct()
     facts = of.select("c", "u", "n", "diff")
     pair = met.join(facts.withColumnsRenamed({"n": "n_u", "diff": "diff_u"}), ["c", "u"]).join(facts.withColumnsRenamed({"u": "w", "n": "n_w", "diff": "diff_w"}), ["c", "w"])
     apart = F.size("diff_u") + F.size("diff_w") - 2 * F.size(F.array_intersect("diff_u", "diff_w"))
