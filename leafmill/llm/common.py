@@ -6,7 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +53,17 @@ def lower_ascii(c: Column) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Rows that a Python step holds at a time; Arrow hands over up to 10,000.
+ROWS = 256
+
+
+def sliced(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """``run`` over small pieces of the batches, so that a worker's memory follows some rows, not a batch."""
+
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS))
+        yield from run(pieces)
+
+    return small

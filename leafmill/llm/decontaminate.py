@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import sliced, table
 
 WINDOW = 13
 #: About 0.5 KB of automaton a word.
@@ -243,7 +243,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(
-        run, f"doc_id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
+        sliced(run), f"doc_id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
     )
 
 
@@ -284,7 +284,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
             out = b.take(pa.array(keep, pa.int64()))
             yield out.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(sliced(run), docs.schema)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import sliced, table
 
 WINDOW = 256
 #: Labelled rows that training reads at most.
@@ -168,8 +168,12 @@ class Predictor:
 
 def train(docs: DataFrame, admitted: Column, n: int = TRAIN_DOCS) -> Model | None:
     """A model from at most ``n`` rows of ``docs`` (doc_id, text, lang) for which ``admitted`` holds."""
-    d = docs.select("doc_id", "lang", F.col("text").cast("binary").alias("text"), admitted.alias("_ok"))
-    d = d.filter(F.col("_ok") & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") > 0))
+    own = docs.withColumn("_ok", admitted).filter(F.col("_ok") & F.col("lang").isNotNull())
+    rows = own.select("lang").count()
+    # about three times as many as wanted pass, whatever the corpus, and go to the driver's choice
+    some = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 3 * n / max(1, rows)))
+    d = own.filter(some).select("doc_id", "lang", F.col("text").cast("binary").alias("text"))
+    d = d.filter(F.col("text").isNotNull() & (F.octet_length("text") > 0))
     place = F.xxhash64("doc_id")
     cut = lambda at: F.substring("text", at.cast("int") + 1, F.lit(WINDOW))
     room = F.greatest(F.lit(1), F.octet_length("text") - WINDOW)
@@ -213,7 +217,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     d = docs.select("doc_id", F.col("text").cast("binary").alias("text"), _has_letter(F.col("text")).alias("_letter"))
-    return d.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return d.mapInArrow(sliced(run), f"doc_id {kind}, lang_pred string, score double")
 
 
 #: Below this mean probability a text is in no learned language.
@@ -234,7 +238,7 @@ def keep_known(docs: DataFrame, model: Model | None, least: float = LEAST_SCORE)
             kept = b.filter(ok)
             yield pa.RecordBatch.from_arrays([c for i, c in enumerate(kept.columns) if i != at], schema=b.schema.remove(at))
 
-    return docs.withColumn(letter, _has_letter(F.col("text"))).mapInArrow(run, docs.schema)
+    return docs.withColumn(letter, _has_letter(F.col("text"))).mapInArrow(sliced(run), docs.schema)
 
 
 def held_out(doc_id: Column) -> Column:

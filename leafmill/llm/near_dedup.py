@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, sliced, table
 from .graph import components
 from .shingles import shingle_set
 
@@ -74,7 +74,7 @@ def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 sketch.append(s[:SKETCH])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sig, pa.binary()), pa.array(n, pa.int64()), pa.array(sketch, pa.list_(pa.int64()))], names=["doc_id", "sig", "n", "sketch"])
 
-    return _texts(docs).mapInArrow(run, "doc_id bigint, sig binary, n bigint, sketch array<bigint>")
+    return _texts(docs).mapInArrow(sliced(run), "doc_id bigint, sig binary, n bigint, sketch array<bigint>")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -97,7 +97,7 @@ def _full_sets(docs: DataFrame, need: DataFrame, repeated: bool, words: int) ->
                     sets.append(s)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["u", "set"])
 
-    out = texts.mapInArrow(run, "u bigint, set array<bigint>")
+    out = texts.mapInArrow(sliced(run), "u bigint, set array<bigint>")
     # rows that occur more than once would multiply pairs
     return out.dropDuplicates(["u", "set"]) if repeated else out
 

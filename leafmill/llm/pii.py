@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, sliced, table
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # start, end, index of the kind
@@ -245,7 +245,7 @@ def spotted(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([_all(t.as_py()) for t in b.column("text")], _ARROW)], names=["doc_id", "spans"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, spans {_SPANS}")
+    return docs.select("doc_id", "text").mapInArrow(sliced(run), f"doc_id {kind}, spans {_SPANS}")
 
 
 def train(spots: DataFrame) -> np.ndarray:
@@ -283,7 +283,7 @@ def find(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     counts = ", ".join(f"n_{k} bigint" for k in KINDS)
-    return spots.mapInArrow(run, f"doc_id {kind}, {counts}, base_sha256 string, spans string")
+    return spots.mapInArrow(sliced(run), f"doc_id {kind}, {counts}, base_sha256 string, spans string")
 
 
 def mask(text: str, spans: list[dict]) -> str:
@@ -308,7 +308,7 @@ def redact(docs: DataFrame) -> DataFrame:
             at = b.schema.get_field_index("text")
             yield b.set_column(at, b.schema.field(at), pa.array([clean(t.as_py()) for t in b.column(at)], b.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(sliced(run), docs.schema)
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

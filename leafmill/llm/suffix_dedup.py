@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, sliced, table
 from .shingles import grams, mixed, word_hashes, words_of
 
 LEAST = 50
@@ -112,7 +112,7 @@ def suffixes(docs: DataFrame) -> DataFrame:
             arrays = [pa.concat_arrays(c) if c else pa.array([], pa.int64()) for c in cols]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "gram", "stretch", "a", "b"])
 
-    return _texts(docs).mapInArrow(run, "doc_id bigint, gram bigint, stretch bigint, a bigint, b bigint")
+    return _texts(docs).mapInArrow(sliced(run), "doc_id bigint, gram bigint, stretch bigint, a bigint, b bigint")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -145,7 +145,7 @@ def _windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     o.append(x.astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["gram", "hash", "doc_id", "at", "c"])
 
-    return texts.join(by_doc, "doc_id").mapInArrow(run, "gram bigint, hash bigint, doc_id bigint, at bigint, c bigint")
+    return texts.join(by_doc, "doc_id").mapInArrow(sliced(run), "gram bigint, hash bigint, doc_id bigint, at bigint, c bigint")
 
 
 def repeated(docs: DataFrame) -> DataFrame:
@@ -179,7 +179,7 @@ def repeated(docs: DataFrame) -> DataFrame:
                 said.append(",".join(f"{a}:{b}" for a, b in merged))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(counts, pa.int64()), pa.array(said, pa.string())], names=["doc_id", "n_words", "n_repeated", "spans"])
 
-    return joined.mapInArrow(run, "doc_id bigint, n_words bigint, n_repeated bigint, spans string")
+    return joined.mapInArrow(sliced(run), "doc_id bigint, n_words bigint, n_repeated bigint, spans string")
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

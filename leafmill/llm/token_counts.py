@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import sliced, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -156,7 +156,7 @@ def count_tokens(docs: DataFrame, edits: Callable[[str], list[Edit]] = cleaning_
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, n_leaves bigint, n_tokens bigint, n_edits bigint, n_tokens_after bigint, chars_encoded_again bigint"
+        sliced(run), f"doc_id {kind}, n_leaves bigint, n_tokens bigint, n_edits bigint, n_tokens_after bigint, chars_encoded_again bigint"
     )
 
 
