@@ -8,8 +8,10 @@ gives the longest suffix read so far that some item holds.
 A window is ``window`` consecutive words of an item, or the whole of a shorter one.  A
 document's word is hit if it lies in an occurrence of a window.
 
-Items are indexed in shards of at most ``SHARD_WORDS`` words, so that an automaton
-stays small whatever the benchmark's size; a document passes through every shard.
+Items are indexed in shards of at most ``SHARD_WORDS`` words, so that the driver never
+holds the whole benchmark; a document passes through every shard.  Every worker keeps
+all automata, about 0.5 KB a word: benchmarks of some million words fit, for larger ones
+call the operator on parts of the benchmark.
 
 Defined cases: null or word-less texts have no words and no hits; null, empty or
 repeated items are allowed (a null item_id is left out of ``items``); no items at all
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import sliced, table
 
 WINDOW = 13
-#: About 0.5 KB of automaton a word.
+#: Words of the items that the driver reads and sends at a time.
 SHARD_WORDS = 200_000
 #: A document with hits on at least one word in so many is contaminated.
 COVERAGE = 20
@@ -192,13 +194,15 @@ def _shards(benchmark: DataFrame) -> Iterator[list[tuple[object, list[bytes]]]]:
         yield shard
 
 
-_BUILT: dict[str, Automaton] = {}
+_BUILT: dict[tuple, list[Automaton]] = {}
 
 
-def _automaton_of(key: str, shard: list, window: int) -> Automaton:
+def _automata(shards: list, window: int) -> list[Automaton]:
+    """A worker's automata of all shards, built once; those of another benchmark go."""
+    key = tuple(digest for digest, _ in shards)
     if key not in _BUILT:
         _BUILT.clear()
-        _BUILT[key] = automaton(shard, window)
+        _BUILT[key] = [automaton(shard.value, window) for _, shard in shards]
     return _BUILT[key]
 
 
@@ -208,8 +212,8 @@ def _scanner(shards: list, window: int):
     def scan(text: bytes | None, words: list[bytes] | None = None):
         words = words_of(text)
         spans, items = [], set()
-        for key, shard in shards:
-            s, i = _automaton_of(key, shard.value, window).scan(words)
+        for a in _automata(shards, window):
+            s, i = a.scan(words)
             spans += s
             items |= i
         return words, merged(spans), items
