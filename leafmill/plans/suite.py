@@ -15,6 +15,7 @@ from ..functions import templates as T
 from ..functions import urls as U
 from ..operators import crawl, duplicates, paths, report, template_paths
 from ..sources import pages as P
+from . import site
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -350,3 +351,16 @@ def crawl_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT {_HOST} AS domain, '  - ' || url || ' (' || coalesce(nullif({_TITLE}, ''), 'No title') || ')' AS line FROM pages")
 def prep_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.prep_listing(P.titles(_parsed(spark, sf_dir, with_path=False, links=False)))
+
+
+# --- whole runs
+@query(f"""WITH f AS ({_FRONTIER(crawl.BUDGET)}) SELECT p.url, coalesce(nullif({_TITLE}, ''), 'No title found') AS title, {_HOST.replace('url', 'p.url')} AS domain
+FROM (SELECT DISTINCT url FROM f) u JOIN (SELECT url, arg_max(html, page_id) AS html FROM pages GROUP BY url) p USING (url)""")
+def site_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site.run(_table(spark, sf_dir, "pages")).report
+
+
+@query()
+def site_prep_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = site.run(_cards(spark, sf_dir), prep=True).findings
+    return found.select("domain", template_paths.path_text().alias("path"), "template_pattern")

@@ -146,3 +146,17 @@ def test_stream(spark, tmp_path):
     q = streaming_duplicates(s).writeStream.outputMode("complete").format("memory").queryName("dups").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [(r.tag, r.occurrences) for r in spark.table("dups").collect()] == [("p", 2)]
+
+
+def test_site(spark):
+    from leafmill.plans import site
+
+    root = "<title>Home</title><nav>Menu</nav><a href='/a'>a</a><a href='/b'>b</a><a href='/c'>c</a>"
+    p = pages(spark, ("https://e.com/", root), ("https://e.com/a", "<nav>Menu</nav><p>3 comments</p>"), ("https://e.com/c", "<p>x</p>"), ("https://o.org/", "<p>5 likes</p>"))
+    s = site.run(p, ["https://e.com/anything", "not a domain"])
+    assert {(r.url, r.status.state) for r in s.urls.collect()} == {("https://e.com/", "Success"), ("https://e.com/a", "Success"), ("https://e.com/b", "Failed")}
+    assert [(r.tag, r.content) for r in s.findings.collect()] == [("nav", "Menu")]
+    assert {(r.url, r.title) for r in s.report.collect()} == {("https://e.com/", "Home"), ("https://e.com/a", "No title found")}
+    prep = site.run(p, prep=True)
+    assert {(r.domain, r.template_pattern) for r in prep.findings.collect()} == {("e.com", "{count} comments"), ("o.org", "{count} likes")}
+    assert site.run_from(p, "https://e.com/a").urls.count() == 1
