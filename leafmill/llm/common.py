@@ -55,6 +55,20 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def join_skewed(rows: DataFrame, side: DataFrame, on: list[str], count: str, n: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``side``, which holds each key once and in ``count`` how many of the ``n`` rows have it.
+
+    Keys of more rows than an eighth of a partition's share are broadcast, so that their
+    rows stay where they are; of these there are at most eight a partition, whatever the
+    data.  The others are shuffled.  ``count`` doesn't come out.
+    """
+    least = n // (8 * partitions(rows.sparkSession)) + 1
+    hot, cold = side.filter(F.col(count) >= least).drop(count), side.filter(F.col(count) < least).drop(count)
+    stay = rows.join(F.broadcast(hot), on, how)
+    go = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on, how)
+    return stay.unionByName(go)
+
+
 #: Rows that a Python step holds at a time; Arrow hands over up to 10,000.
 ROWS = 256
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, sliced, table
+from .common import join_skewed, materialize, sliced, table
 from .shingles import grams, mixed, word_hashes, words_of
 
 LEAST = 50
@@ -152,15 +152,19 @@ def repeated(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_repeated, spans (start:end in words, by start) of each row of ``docs`` (doc_id, text)."""
     all_ = materialize(suffixes(docs), "suffixes")
     kept = all_.filter("gram is not null")
-    met = kept.groupBy("gram").agg(F.count("*").alias("c"), (F.min("stretch") != F.max("stretch")).alias("differ")).filter("c > 1").select("gram", "differ")
-    near = materialize(kept.join(met, "gram"), "neighbours")
+    met = kept.groupBy("gram").agg(F.count("*").alias("c"), (F.min("stretch") != F.max("stretch")).alias("differ")).filter("c > 1")
+    met, n = materialize(met, "grams"), kept.count()
+    near = materialize(join_skewed(kept, met, ["gram"], "c", n), "neighbours")
     parts = near.filter("differ").groupBy("gram", "stretch").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "a", "b")).alias("r"))
     parts = materialize(parts.select("gram", "stretch", "c", "r.doc_id", "r.a", "r.b"), "stretches")
     whole = near.filter("not differ").select("doc_id", "a", "b")
-    again = near.filter("differ").join(parts.filter("c > 1").select("gram", "stretch"), ["gram", "stretch"], "left_semi").select("doc_id", "a", "b")
+    common = parts.filter("c > 1").select("gram", "stretch", "c")
+    again = join_skewed(near.filter("differ"), common, ["gram", "stretch"], "c", n, "left_semi").select("doc_id", "a", "b")
     windows = materialize(_windows(docs, parts), "windows")
-    twice = windows.groupBy("gram", "hash").agg(F.sum("c").alias("s")).filter("s > 1").select("gram", "hash")
-    edge = windows.filter("c = 1").join(twice, ["gram", "hash"], "left_semi").select("doc_id", F.col("at").alias("a"), F.col("at").alias("b"))
+    once = windows.filter("c = 1")
+    twice = windows.groupBy("gram", "hash").agg(F.sum("c").alias("s"), F.count_if(F.col("c") == 1).alias("k")).filter("s > 1 and k > 0")
+    twice = materialize(twice.select("gram", "hash", "k"), "repeats")
+    edge = join_skewed(once, twice, ["gram", "hash"], "k", once.count(), "left_semi").select("doc_id", F.col("at").alias("a"), F.col("at").alias("b"))
     spans = whole.unionByName(again).unionByName(edge).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("s"))
     rows = all_.filter("gram is null").select("doc_id", F.col("a").alias("n_words"))
     joined = rows.join(spans, "doc_id", "left")
