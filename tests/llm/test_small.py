@@ -8,8 +8,10 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from leafmill.llm import ann, decontaminate, lang_id, packing, pii, suffix_dedup, token_counts
+from leafmill.llm.common import join_skewed
 from leafmill.llm.shingles import word_hashes
 
 
@@ -139,3 +141,15 @@ def test_tiny_graphs(n):
 
 def test_sha_of_nothing():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+# --- joins with hot keys
+def test_join_skewed(spark):
+    rows = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(300)] + [(None, -1)], "k long, i long")
+    side = rows.groupBy("k").count().filter("k % 2 = 1").withColumn("x", F.col("k") * 2)
+    got = join_skewed(rows, side, ["k"], "count", rows.count())
+    assert got.columns == ["k", "i", "x"] and sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(side.drop("count"), "k").collect()))
+    semi = join_skewed(rows, side, ["k"], "count", rows.count(), "left_semi")
+    assert sorted(map(tuple, semi.collect())) == sorted(map(tuple, rows.join(side, "k", "left_semi").collect()))
+    none = rows.limit(0)
+    assert join_skewed(none, side.limit(0), ["k"], "count", 0).count() == 0
