@@ -4,14 +4,16 @@ Vectors are dealt to shards of about ``SHARD_ROWS`` by a hash of their id; every
 is indexed.  A shard's graph is built by inserting batches: a greedy beam search in the
 graph so far proposes neighbours, and relaxed pruning keeps a candidate only if no kept
 one is ``ALPHA`` times nearer to it than the inserted vector is, so that edges stay few
-and diverse.  Edges are added in both directions and pruned alike.
+and diverse.  Edges are added in both directions and pruned alike.  Equal vectors of a shard
+are one node, which carries their ids: as nodes of their own they would prune each other's
+edges away and be out of reach.
 
 Largest inner product becomes smallest distance by one further coordinate, which makes
 all vectors of a shard equally long.
 
 Queries go through every shard in blocks: a beam search proposes neighbours, their
-scores are computed in double precision from the original vectors, and the shards' best
-are merged.
+scores are computed in double precision from the original vectors, nodes give their ids,
+and the shards' best are merged.
 
 Defined cases: vectors that are null, zero, or hold a null or a non-finite component
 take no part, as candidates or queries, nor do rows without an id or of another
@@ -170,19 +172,24 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def index(v: DataFrame, shards: int) -> DataFrame:
-    """shard, n, and the ids, vectors and edges of each shard's graph as bytes."""
+    """shard, n, and the vectors and edges of each shard's ``n`` nodes and, by node, their counts of ids and the ids, as bytes."""
 
     def build(t: pa.Table) -> pa.Table:
         shard, ids, x = t.column("shard")[0].as_py(), t.column("vec_id").to_numpy(), _matrix(t.column("v"))
-        order = np.lexsort((*x.T[::-1], ids))
+        order = np.lexsort((ids, *x.T[::-1]))
         ids, x = ids[order], x[order]
-        new = np.concatenate([[True], (ids[1:] != ids[:-1]) | (x[1:] != x[:-1]).any(1)])
-        ids, x = ids[new], x[new]
+        new = np.concatenate([[True], (x[1:] != x[:-1]).any(1)])
+        least = ids[new][np.cumsum(new) - 1]
+        order = np.lexsort((ids, *x.T[::-1], least))  # nodes by their smallest ids
+        ids, x = ids[order], x[order]
+        new = np.concatenate([[True], (x[1:] != x[:-1]).any(1)])
+        each = new | np.concatenate([[True], ids[1:] != ids[:-1]])
+        ids, x, counts = ids[each], x[new], np.bincount(np.cumsum(new)[each] - 1)
         g = Graph(lifted(x))
-        return pa.table({"shard": [shard], "n": [len(ids)], "ids": [ids.astype("<i8").tobytes()], "x": [x.astype("<f8").tobytes()], "edges": [g.edges.astype("<i4").tobytes()]})
+        return pa.table({"shard": [shard], "n": [len(x)], "counts": [counts.astype("<i4").tobytes()], "ids": [ids.astype("<i8").tobytes()], "x": [x.astype("<f8").tobytes()], "edges": [g.edges.astype("<i4").tobytes()]})
 
     dealt = v.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInArrow(build, "shard long, n long, ids binary, x binary, edges binary")
+    return dealt.groupBy("shard").applyInArrow(build, "shard long, n long, counts binary, ids binary, x binary, edges binary")
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", beam: int = SEARCH_BEAM) -> DataFrame:
@@ -203,6 +210,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, vector: str = "embedd
             return schema.empty_table()
         size = g.column("n")[0].as_py()
         ids = np.frombuffer(g.column("ids")[0].as_py(), "<i8")
+        counts = np.frombuffer(g.column("counts")[0].as_py(), "<i4").astype(np.int64)
+        first = np.cumsum(counts) - counts
         x = np.frombuffer(g.column("x")[0].as_py(), "<f8").reshape(size, -1)
         graph = Graph(lifted(x), edges=np.frombuffer(g.column("edges")[0].as_py(), "<i4").reshape(size, -1))
         own, qv = t.column("vec_id").to_numpy(), _matrix(t.column("v"))
@@ -211,12 +220,18 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, vector: str = "embedd
             a, b = own[at : at + BATCH], qv[at : at + BATCH]
             unit = b / np.abs(b).max(1, keepdims=True)
             got, d = graph.search(np.concatenate([unit, np.zeros((len(b), 1))], 1).astype(np.float32), max(beam, 2 * k))
-            found = np.isfinite(d) & (ids[got] != a[:, None])
             score = np.einsum("qcd,qd->qc", x[got], b)
-            score[~found] = -np.inf
-            best = np.lexsort((ids[got], -score), axis=1)[:, :k]
-            ok = np.take_along_axis(found, best, 1)
-            out.append((np.repeat(a, ok.sum(1)), np.take_along_axis(ids[got], best, 1)[ok], np.take_along_axis(score, best, 1)[ok]))
+            row, col = np.nonzero(np.isfinite(d))
+            node = got[row, col]
+            # of equal scores the smallest ids come first, and one may be the query's own
+            some = np.minimum(counts[node], k + 1)
+            row, by_id, value = np.repeat(row, some), ids[np.repeat(first[node] - np.cumsum(some) + some, some) + np.arange(some.sum())], np.repeat(score[row, col], some)
+            other = by_id != a[row]
+            row, by_id, value = row[other], by_id[other], value[other]
+            order = np.lexsort((by_id, -value, row))
+            row, by_id, value = row[order], by_id[order], value[order]
+            best = np.arange(len(row)) - np.searchsorted(row, row) < k
+            out.append((a[row[best]], by_id[best], value[best]))
         return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=schema)
 
     found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(find, "query_id long, vec_id long, score double")

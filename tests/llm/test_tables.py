@@ -166,6 +166,22 @@ def test_nearest(spark):
     assert ann.search(v.limit(3), v.limit(3), 20).count() == 6
 
 
+def test_nearest_of_equal_vectors(spark):
+    r = random.Random(4)
+    same = [r.gauss(0, 1) for _ in range(8)]
+    rows = [(i, same if i % 3 == 0 else [r.gauss(0, 1) for _ in range(8)]) for i in range(1500)]
+    v = spark.createDataFrame(rows + rows[:9], "vec_id long, embedding array<double>")
+    got = ann.search(v, v.filter("vec_id % 20 = 0"), 20).collect()
+    hit = {True: 0, False: 0}
+    for q in range(0, 1500, 20):
+        dot = {i: sum(a * b for a, b in zip(x, rows[q][1])) for i, x in rows if i != q}
+        best = sorted(dot, key=lambda i: (-dot[i], i))[:20]
+        own = [g.vec_id for g in sorted(got, key=lambda g: g["rank"]) if g.query_id == q]
+        assert len(own) == len(set(own)) == 20
+        hit[q % 3 == 0] += len(set(own) & set(best))
+    assert hit[True] >= 0.95 * 25 * 20 and hit[False] >= 0.95 * 50 * 20
+
+
 def test_suffix(docs, empty):
     own, seen = [(i, (t or "").lower().split()) for i, t in texts() if i is not None], {}
     for i, w in own:
