@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from leafmill.llm import decontaminate, lang_id, near_dedup, packing, pii
 from leafmill.llm.common import materialize, table
 
+#: Near copies from this many hundredths of similarity on; op7's query has a figure of its own.
+NEAR_PERCENT = 80
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or in no language that the network has learned, go."""
@@ -22,8 +25,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that with the smallest doc_id."""
-    return near_dedup.keep_one(docs)
+    """One document of each group of near copies stays, that with the smallest doc_id; copies share ``NEAR_PERCENT`` of their 5-word shingles."""
+    return near_dedup.keep_one(docs, percent=NEAR_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

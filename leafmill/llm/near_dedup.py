@@ -5,11 +5,11 @@ their smallest doc_id.
 
 1. A class's sketch is the ``SKETCH`` smallest values of one hash over its shingles.
 2. Inverted lists: sketch values are ordered by how many classes retain them, rarest
-   first.  Two sketches that overlap in ``OVERLAP`` values share one of their
-   ``SKETCH - OVERLAP + 1`` rarest, so only these are listed, and only if another class
+   first.  Two sketches that overlap in ``_overlap`` values share one of their
+   ``SKETCH - _overlap + 1`` rarest, so only these are listed, and only if another class
    retains them.  A passage that many documents share is thus no reason to list them.
-   At the linking similarity fewer shared values have a probability of about 1e-8; sets
-   of up to ``WHOLE`` shingles are listed by an exact bound instead.
+   At the linking similarity fewer shared values have a probability of at most ``MISS``;
+   sets of up to ``_whole`` shingles are listed by an exact bound instead.
 3. Short lists give all their pairs.  A long list gives a star: its members against its
    centre, the member whose values are most widely shared.
 4. The union sketch estimates each pair's similarity and drops what can't be linked;
@@ -32,7 +32,9 @@ rows; other columns are left out of ``groups`` and kept by ``keep_one``.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -47,20 +49,36 @@ WORDS = 5
 #: Linked from this many hundredths of similarity on.
 PERCENT = 85
 SKETCH = 48
-OVERLAP = 26
-#: Sets of so many shingles, and all sets that can link with them, are whole in their sketches.
-WHOLE = 40
+#: The probability at most that a pair at the linking similarity shares too few values to be listed.
+MISS = 1e-7
 #: Lists of up to so many members, twice as many each round, give all their pairs.
 SHORT = 8
 ROUNDS = 5
 #: A star's pair is looked into if the estimate is at least this; below, the member stays in its list.
 FAR = 0.06
-#: A member this similar to the centre leaves the list: what links with it is looked into as well.
-CLOSE = 0.4
+#: A member this much more similar to the centre than what links with it must be leaves the list: that is looked into as well.
+CLOSE = 0.25
 #: Up to so many ids (8 bytes each) are broadcast to fetch texts; more are joined by shuffling.
 BROADCAST_IDS = 500_000
 
 
+@functools.cache
+def _overlap(percent: int) -> int:
+    """How many values two sketches at the linking similarity share, but for a probability of ``MISS``."""
+    p, least, fewer = percent / 100, 0, 0.0
+    while least < SKETCH:
+        fewer += math.comb(SKETCH, least) * p**least * (1 - p) ** (SKETCH - least)
+        if fewer > MISS:
+            break
+        least += 1
+    return least
+
+
+def _whole(percent: int) -> int:
+    """Sets of so many shingles, and all sets that can link with them, are whole in their sketches."""
+    return SKETCH * percent // 100
+
+
 def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, sig (a digest of the whole set, null if it is empty), n and sketch of each row."""
 
@@ -104,7 +122,7 @@ def _full_sets(docs: DataFrame, need: DataFrame, repeated: bool, words: int) ->
 
 def _prefix(n: Column, percent: int) -> Column:
     """How many of a sketch's rarest values must be listed."""
-    return F.when(n <= WHOLE, n - F.ceil(n * percent / 100) + 1).otherwise(F.lit(SKETCH - OVERLAP + 1))
+    return F.when(n <= _whole(percent), n - F.ceil(n * percent / 100) + 1).otherwise(F.lit(SKETCH - _overlap(percent) + 1))
 
 
 def _lists(classes: DataFrame, percent: int) -> DataFrame:
@@ -181,7 +199,7 @@ def _judged(pairs: DataFrame, small: DataFrame, sets: DataFrame, percent: int) -
     both = F.array_intersect("sketch_a", "sketch_b")
     shared, of = F.size(F.array_intersect(both, F.col("_union"))), F.size("_union")
     near = near.withColumn("_union", union).filter(
-        F.when(F.col("star"), shared >= FAR * of).otherwise(shared * SKETCH >= OVERLAP * of)
+        F.when(F.col("star"), shared >= FAR * of).otherwise(shared * SKETCH >= _overlap(percent) * of)
     ).select("a", "b", "star")
     full = near.join(one(sets, "a", "set"), "a").join(one(sets, "b", "set"), "b")
     full = full.withColumn("_i", F.size(F.array_intersect("set_a", "set_b")).cast("long"))
@@ -189,7 +207,7 @@ def _judged(pairs: DataFrame, small: DataFrame, sets: DataFrame, percent: int) -
     linked = F.col("_i") * 100 >= F.col("_u") * percent
     mine = lambda c: F.when(F.col("star"), c)
     return full.select(
-        "a", "b", "star", linked.alias("linked"), (F.col("_i") >= CLOSE * F.col("_u")).alias("close"), F.size("set_a").cast("long").alias("n"),
+        "a", "b", "star", linked.alias("linked"), (F.col("_i") * 100 >= F.col("_u") * (100 * CLOSE + 100 - percent)).alias("close"), F.size("set_a").cast("long").alias("n"),
         mine(F.array_except("set_a", "set_b")).alias("more"), mine(F.array_except("set_b", "set_a")).alias("less"),
     )
 

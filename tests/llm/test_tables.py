@@ -147,6 +147,30 @@ def test_near_dedup(docs, empty):
     assert near_dedup.groups(empty).count() == 0
 
 
+def test_pipeline_near_copies(spark):
+    import corpus_pipeline
+
+    rows = []
+    for k, n in enumerate(range(20, 400, 10)):  # similar by 0.8 or a little more, and by less
+        w = [f"x{k}_{i}" for i in range(n + 4)]
+        rows += [(4 * k, " ".join(w)), (4 * k + 1, " ".join(w + [f"y{k}_{i}" for i in range(n // 4)]))]
+        rows += [(4 * k + 2, " ".join([f"z{i}" for i in w])), (4 * k + 3, " ".join([f"z{i}" for i in w] + [f"v{k}_{i}" for i in range(n // 4 + 1)]))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, d, "").collect()}
+    assert kept == {i for i, _ in rows} - {4 * k + 1 for k in range(38)}
+    assert {r.doc_id for r in near_dedup.keep_one(d).collect()} == {i for i, _ in rows}
+
+
+def test_overlap():
+    from math import comb
+
+    for percent in range(75, 100):
+        fewer = lambda o: sum(comb(48, i) * (percent / 100) ** i * (1 - percent / 100) ** (48 - i) for i in range(o))
+        o = near_dedup._overlap(percent)
+        assert fewer(o) <= 1e-7 < fewer(o + 1) and near_dedup._whole(percent) * 100 <= 48 * percent
+    assert (near_dedup._overlap(85), near_dedup._whole(85)) == (26, 40)
+
+
 def test_nearest(spark):
     r = random.Random(3)
     rows = [(i, [r.gauss(0, 1) for _ in range(8)], "x") for i in range(300)]
