@@ -48,6 +48,8 @@ from .shingles import shingle_set
 WORDS = 5
 #: Linked from this many hundredths of similarity on.
 PERCENT = 85
+#: Below, what links with a member of a star could be too far from the centre to be looked into.
+LEAST_PERCENT = 75
 SKETCH = 48
 #: The probability at most that a pair at the linking similarity shares too few values to be listed.
 MISS = 1e-7
@@ -145,6 +147,8 @@ def _met(lists: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of ``docs`` (doc_id, text)."""
+    if not LEAST_PERCENT <= percent <= 100:
+        raise ValueError(f"percent must be from {LEAST_PERCENT} to 100, not {percent}")
     rows = materialize(sketches(docs, words), "sketches")
     known = rows.filter("sig is not null and doc_id is not null")
     classes = materialize(

@@ -171,6 +171,13 @@ def test_overlap():
     assert (near_dedup._overlap(85), near_dedup._whole(85)) == (26, 40)
 
 
+def test_least_percent(empty):
+    for percent in (60, 74, 101):
+        with pytest.raises(ValueError):
+            near_dedup.groups(empty, percent)
+    assert near_dedup.groups(empty, 75).count() == 0
+
+
 def test_nearest(spark):
     r = random.Random(3)
     rows = [(i, [r.gauss(0, 1) for _ in range(8)], "x") for i in range(300)]
