@@ -27,7 +27,9 @@ their smallest doc_id.
 Defined cases: null, empty and word-less texts have an empty set (n_shingles 0) and
 link with nothing; rows with a null doc_id link with nothing, have a null component
 and are kept; rows that share a doc_id share its component; an empty table gives no
-rows; other columns are left out of ``groups`` and kept by ``keep_one``.
+rows; other columns are left out of ``groups`` and kept by ``keep_one``, which decides by
+row, whatever its doc_id: of rows with ids one of each component stays, and of rows
+without one too.
 """
 
 from __future__ import annotations
@@ -253,9 +255,17 @@ def _around(stars: DataFrame, percent: int) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """``docs`` with its own columns, one document of each component; rows without a doc_id stay."""
-    gone = groups(docs, percent, words).filter(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    """``docs`` with its own columns, one row of each component: that with the smallest doc_id, and one of those without a doc_id."""
+    key = "_row"
+    while key in map(str.lower, docs.columns):
+        key = f"_{key}"
+    rows = materialize(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+    of = groups(rows.select(F.col(key).alias("doc_id"), "text"), percent, words)
+    of = of.select(F.col("doc_id").alias(key), "component_id").join(rows.select(key, F.col("doc_id").cast("long").alias("id")), key)
+    of = materialize(of, "components")
+    best = of.groupBy("component_id", F.col("id").isNull()).agg(F.min(F.struct("id", key)).alias("best")).select(F.col(f"best.{key}").alias(key))
+    gone = of.select(key).join(best, key, "left_anti")
+    return rows.join(gone, key, "left_anti").select(*docs.columns)
 
 
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -178,6 +178,16 @@ def test_least_percent(empty):
     assert near_dedup.groups(empty, 75).count() == 0
 
 
+def test_keep_one_by_row(spark):
+    r = random.Random(6)
+    one, two, three = (" ".join(r.choices(WORDS, k=60)) for _ in range(3))
+    rows = [(1, one), (5, one), (5, two), (9, two), (3, three), (3, three), (3, three.upper()), (4, one), (None, "a b c"), (None, "a b c"), (None, ""), (None, ""), (2, "")]
+    got = near_dedup.keep_one(spark.createDataFrame([(*x, 0) for x in rows], "doc_id long, text string, _row int"))
+    assert got.columns == ["doc_id", "text", "_row"]
+    kept = [(x.doc_id, x.text.lower()) for x in got.collect()]
+    assert sorted(kept, key=str) == sorted([(1, one), (5, two), (3, three), (None, "a b c"), (None, ""), (None, ""), (2, "")], key=str)
+
+
 def test_nearest(spark):
     r = random.Random(3)
     rows = [(i, [r.gauss(0, 1) for _ in range(8)], "x") for i in range(300)]
