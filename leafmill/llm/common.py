@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -38,9 +39,30 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
     This cuts the lineage: a lost executor costs a reread, not a recomputation.
     """
-    path = f"{shared_root(df.sparkSession)}/leafmill-{name}-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, f"{shared_root(df.sparkSession)}/leafmill-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    where, fs = _place(spark, path)
+    fs.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+_WRITTEN: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def _place(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete tables that ``materialize`` wrote and that nothing reads any more; the others go when the session ends."""
+    for t in tables:
+        ref, path = _WRITTEN.pop(id(t), (None, ""))
+        if ref is not None and ref() is t:
+            where, fs = _place(t.sparkSession, path)
+            fs.delete(where, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +91,21 @@ def join_skewed(rows: DataFrame, side: DataFrame, on: list[str], count: str, n:
     return stay.unionByName(go)
 
 
+def join_salted(rows: DataFrame, side: DataFrame, on: str, count: str, n: int, by: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``side`` as by ``join_skewed``, for a ``side`` too wide to be broadcast.
+
+    The rows of a hot key are dealt to several tasks by a hash of their columns ``by``, and
+    the key's row of ``side`` goes to each of these.  Only the hot keys, at most eight a
+    partition, are broadcast, each with its number of tasks.
+    """
+    least = n // (8 * partitions(rows.sparkSession)) + 1
+    tasks = F.ceil(F.col(count) / least).cast("int")
+    hot = side.filter(F.col(count) > least).select(on, tasks.alias("_tasks"))
+    dealt = rows.join(F.broadcast(hot), on, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*by), F.col("_tasks")).cast("int"), F.lit(0)))
+    each = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(tasks, F.lit(1)) - 1)))
+    return dealt.drop("_tasks").join(each.drop(count), [on, "_salt"], how).drop("_salt")
+
+
 #: Rows that a Python step holds at a time; Arrow hands over up to 10,000.
 ROWS = 256
 

@@ -5,34 +5,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_salted, materialize, release
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b); the root is the component's smallest node.
 
-    Every round each root hooks to its smallest neighbour, chains of hooks are halved,
-    and the edges are relabelled, so that they shrink quickly; a star takes one round.
+    Every round each root hooks to its smallest neighbour, chains of hooks are halved, and
+    the edges are relabelled, so that they shrink quickly; a star takes one round.
+    The edges of a node of many, and the nodes of a large component, are dealt to several
+    tasks wherever they meet their hooks.
     """
     both = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = materialize(both(edges.filter("a <> b")).distinct(), "edges")
     labels: DataFrame | None = None
-    while not edges.isEmpty():
-        hook = edges.groupBy("a").agg(F.min("b").alias("p")).select("a", F.least("a", "p").alias("p"))
-        hook = materialize(_halved(_halved(hook)), "hooks")
+    while n := edges.count():
+        hook = edges.groupBy("a").agg(F.min("b").alias("p"), F.count("*").alias("c")).select("a", F.least("a", "p").alias("p"), "c")
+        hook = materialize(_halved(hook, n), "hooks")
         if labels is None:
-            labels = hook.select(F.col("a").alias("node"), F.col("p").alias("root"))
+            new = materialize(hook.select(F.col("a").alias("node"), F.col("p").alias("root")), "labels")
         else:
-            labels = labels.join(hook, labels["root"] == hook["a"], "left").select("node", F.coalesce("p", "root").alias("root"))
-        labels = materialize(labels, "labels")
-        to = hook.select(F.col("a").alias("x"), F.col("p").alias("y"))
-        moved = edges.join(hook, "a").select("p", "b").join(to, F.col("b") == F.col("x")).select(F.col("p").alias("a"), F.col("y").alias("b"))
-        edges = materialize(moved.filter("a <> b").distinct(), "edges")
+            sizes = labels.groupBy("root").agg(F.count("*").alias("c"))
+            up = hook.select(F.col("a").alias("root"), "p").join(sizes, "root")
+            new = join_salted(labels, up, "root", "c", labels.count(), ["node"], "left").select("node", F.coalesce("p", "root").alias("root"))
+            new = materialize(new, "labels")
+        # an edge is there in both directions, so a node is as often an end as a start
+        ends = lambda x, y: hook.select(F.col("a").alias(x), F.col("p").alias(y), "c")
+        moved = join_salted(edges, ends("a", "p"), "a", "c", n, ["b"]).select("p", "b")
+        moved = join_salted(moved, ends("b", "q"), "b", "c", n, ["p"]).select(F.col("p").alias("a"), F.col("q").alias("b"))
+        left = materialize(moved.filter("a <> b").distinct(), "edges")
+        release(labels, edges, hook)
+        labels, edges = new, left
     if labels is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    release(edges)
     return labels
 
 
-def _halved(hook: DataFrame) -> DataFrame:
-    up = hook.select(F.col("a").alias("p"), F.col("p").alias("q"))
-    return hook.join(up, "p", "left").select("a", F.coalesce("q", "p").alias("p"))
+def _halved(hook: DataFrame, n: int) -> DataFrame:
+    below = hook.groupBy("p").agg(F.count("*").alias("d"))
+    up = hook.select(F.col("a").alias("p"), F.col("p").alias("q")).join(below, "p")
+    return join_salted(hook, up, "p", "d", n, ["a"]).select("a", F.col("q").alias("p"), "c")

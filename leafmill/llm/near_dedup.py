@@ -13,16 +13,18 @@ their smallest doc_id.
 3. Short lists give all their pairs.  A long list gives a star: its members against its
    centre, the member whose values are most widely shared.
 4. The union sketch estimates each pair's similarity and drops what can't be linked;
-   the exact Jaccard similarity of the full sets confirms the others.
-5. What is left of a long list.  Members linked with the centre are one component.  A
-   far member x can link with y only if they share more than half of y's differences
-   from the centre: else their differences would add up, and leave them as far from
-   each other as x is from the centre.  So differences are listed, rarest first again
-   and as many as such an overlap asks for, and pairs that meet there are compared
-   exactly, by their differences from the common centre alone.
+   the exact Jaccard similarity of the full sets confirms the others.  The components of
+   what is linked so far are found, and a list whose members are in one goes.
+5. What is left of a long list.  A far member x, one that isn't linked with the centre,
+   can link with y only if they share more than half of y's differences from the centre:
+   else their differences would add up, and leave them as far from each other as x is
+   from the centre.  So differences are listed, rarest first again and as many as such an
+   overlap asks for.  These lists go through the same turn: pairs if short, a star and
+   differences from its centre if long.  So a family of copies that is far from the
+   centre costs a star, not its pairs.
 6. Members hardly similar to their centre stay in their list, which gets another centre
-   in the next round.  After ``ROUNDS`` rounds a list that is still long gives all its
-   pairs, so nothing is lost.
+   in the next turn.  After ``AGE`` of them the list is split by one more value that a
+   link must share.  Turns end when no list is left in which components meet.
 
 Defined cases: null, empty and word-less texts have an empty set (n_shingles 0) and
 link with nothing; rows with a null doc_id link with nothing, have a null component
@@ -43,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, sliced, table
+from .common import join_salted, materialize, release, sliced, table
 from .graph import components
 from .shingles import shingle_set
 
@@ -55,9 +57,12 @@ LEAST_PERCENT = 75
 SKETCH = 48
 #: The probability at most that a pair at the linking similarity shares too few values to be listed.
 MISS = 1e-7
-#: Lists of up to so many members, twice as many each round, give all their pairs.
+#: Lists of up to so many members give all their pairs; of longer ones no more than a star comes at a time.
 SHORT = 8
-ROUNDS = 5
+#: After so many stars a list's other members are dealt to shorter lists, by one more shared value.
+AGE = 2
+#: From this turn on differences from a centre are listed apart for each list, so that lists only get shorter.
+SCOPED = 8
 #: A star's pair is looked into if the estimate is at least this; below, the member stays in its list.
 FAR = 0.06
 #: A member this much more similar to the centre than what links with it must be leaves the list: that is looked into as well.
@@ -129,22 +134,57 @@ def _prefix(n: Column, percent: int) -> Column:
     return F.when(n <= _whole(percent), n - F.ceil(n * percent / 100) + 1).otherwise(F.lit(SKETCH - _overlap(percent) + 1))
 
 
-def _lists(classes: DataFrame, percent: int) -> DataFrame:
-    """key, u, score: the inverted lists of the rarest retained values, where two classes meet."""
-    each = classes.select("u", "n", F.size("sketch").alias("kept"), F.explode("sketch").alias("key"))
-    common = each.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = each.join(common, "key").groupBy("u", "n", "kept").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("s"))
+def _ranked(classes: DataFrame, percent: int) -> DataFrame:
+    """space, u, lim, score, s: each class's retained values that another class retains too, rarest first, of which the first ``lim`` are listed."""
+    each = classes.select("sig", "u", "n", F.size("sketch").alias("kept"), F.explode("sketch").alias("x"))
+    common = materialize(each.groupBy("x").agg(F.count("*").alias("df")).filter("df > 1").withColumn("c", F.col("df")), "common")
+    n = classes.agg(F.sum(F.size("sketch"))).first()[0] or 0
+    met = join_salted(each, common, "x", "c", n, ["sig"]).groupBy("sig", "u", "n", "kept").agg(_rarest_first())
     # values that nobody else retains are rarer, and come first
-    take = F.greatest(F.lit(0), _prefix(F.col("n"), percent) - (F.col("kept") - F.size("s"))).cast("int")
+    lim = _prefix(F.col("n"), percent) - (F.col("kept") - F.size("s"))
+    return _values(met, F.lit(0).cast("long"), lim)
+
+
+def _rarest_first() -> Column:
+    return F.sort_array(F.collect_list(F.struct("df", "x"))).alias("s")
+
+
+def _values(met: DataFrame, space: Column, lim: Column) -> DataFrame:
     score = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x["df"])
-    return shared.select("u", score.alias("score"), F.explode(F.slice("s", 1, take)).alias("x")).select("x.key", "u", "score")
+    return met.select(space.alias("space"), "u", lim.cast("int").alias("lim"), score.alias("score"), F.transform("s", lambda x: x["x"]).alias("s"))
+
 
+def _listed(ranked: DataFrame) -> DataFrame:
+    """key, space, u, score, at, level, age: the inverted lists of ranked values."""
+    first = F.slice("s", F.lit(1), F.greatest(F.lit(0), F.col("lim")))
+    each = ranked.select("space", "u", "score", F.posexplode(first).alias("at", "x"))
+    return each.select(F.xxhash64("space", "x").alias("key"), "space", "u", "score", "at", F.lit(1).alias("level"), F.lit(0).alias("age"))
 
-def _met(lists: DataFrame) -> DataFrame:
-    """The lists with their sizes and centres, without those of one member."""
-    lists = materialize(lists, "lists")
-    about = lists.groupBy("key").agg(F.count("*").alias("size"), F.max_by("u", F.struct("score", "u")).alias("centre")).filter("size > 1")
-    return materialize(lists.join(about, "key"), "lists")
+
+def _refined(lists: DataFrame, ranked: DataFrame) -> DataFrame:
+    """The lists split by one more shared value.
+
+    Of a pair that needs k values in common and meets first at one place, another k - 1
+    are behind that place; so the next is among as many as were listed, and one more a level.
+    """
+    own = lists.join(ranked.select("space", "u", "lim", "s"), ["space", "u"])
+    more = F.slice("s", F.col("at") + 2, F.greatest(F.lit(0), F.col("lim") + F.col("level") - F.col("at") - 1))
+    each = own.select("key", "space", "u", "score", "at", "level", F.posexplode(more).alias("i", "x"))
+    return each.select(F.xxhash64("key", "x").alias("key"), "space", "u", "score", (F.col("at") + 1 + F.col("i")).alias("at"), (F.col("level") + 1).alias("level"), F.lit(0).alias("age"))
+
+
+def _met(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The lists in which two components meet, with their sizes and centres."""
+    if labels is None:
+        own = lists.withColumn("root", F.col("u"))
+    else:
+        own = lists.join(labels.withColumnsRenamed({"node": "u", "root": "r"}), "u", "left").withColumn("root", F.coalesce("r", "u")).drop("r")
+        own = materialize(own, "lists")
+    about = own.groupBy("key").agg(F.count("*").alias("size"), F.max_by("u", F.struct("score", "u")).alias("centre"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    about = materialize(about.filter("lo < hi").drop("lo", "hi").withColumn("c", F.col("size")), "about")
+    out = materialize(join_salted(own, about, "key", "c", own.count(), ["u"]), "lists")
+    release(own, about)
+    return out
 
 
 def groups(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
@@ -153,13 +193,13 @@ def groups(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataF
         raise ValueError(f"percent must be from {LEAST_PERCENT} to 100, not {percent}")
     rows = materialize(sketches(docs, words), "sketches")
     known = rows.filter("sig is not null and doc_id is not null")
-    classes = materialize(
-        known.groupBy("sig").agg(F.min("doc_id").alias("u"), F.min_by("n", "doc_id").alias("n"), F.min_by("sketch", "doc_id").alias("sketch")), "classes"
-    )
-    links = _links(docs, classes, not known.groupBy("doc_id").count().filter("count > 1").isEmpty(), percent, words)
-    roots = components(links)
-    of = known.select("doc_id", "sig").join(classes.select("sig", "u"), "sig").select("doc_id", "u")
-    of = of.join(roots, F.col("u") == F.col("node"), "left").select("doc_id", F.coalesce("root", "u").alias("root"))
+    least = lambda c: F.min_by(c, "doc_id").alias(c)
+    classes = materialize(known.groupBy("sig").agg(F.min("doc_id").alias("u"), least("n"), least("sketch"), F.count("*").alias("c")), "classes")
+    repeated = not known.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    roots = _connected(docs, classes, repeated, percent, words)
+    # two classes may share their smallest doc_id, where rows share it
+    side = classes.select("sig", "u", "c").join(roots, F.col("u") == F.col("node"), "left").select("sig", F.coalesce("root", "u").alias("root"), "c")
+    of = join_salted(known.select("doc_id", "sig"), side, "sig", "c", known.count(), ["doc_id"])
     best = of.groupBy("doc_id").agg(F.min("root").alias("component_id"))
     named = rows.filter("doc_id is not null").select("doc_id", F.col("n").alias("n_shingles")).join(best, "doc_id", "left")
     named = named.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -168,46 +208,68 @@ def groups(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataF
     return out.withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
 
 
-def _links(docs: DataFrame, classes: DataFrame, repeated: bool, percent: int, words: int) -> DataFrame:
-    """a, b: enough links between classes to connect what all links connect."""
-    lists = _met(_lists(classes, percent))
+def _connected(docs: DataFrame, classes: DataFrame, repeated: bool, percent: int, words: int) -> DataFrame:
+    """node, root: the components of the classes that link with others; the root is the smallest class."""
+    ranked = materialize(_ranked(classes, percent), "ranked")
+    lists = _met(_listed(ranked), None)
     need = lists.select("u").distinct().join(classes, "u").select("u", "sig")
     sets = materialize(_full_sets(docs, need, repeated, words), "sets")
-    small = classes.select("u", "sketch").join(lists.select("u").distinct(), "u", "left_semi")
-    found: DataFrame | None = None
-    for turn in range(ROUNDS + 1):
-        last = turn == ROUNDS
-        long = F.lit(False) if last else F.col("size") > (SHORT << turn)
-        few, many = lists.filter(~long), lists.filter(long)
-        other = few.select("key", F.col("u").alias("w"))
-        pairs = few.select("key", "u").join(other, "key").filter("u < w").select(F.col("u").alias("a"), F.col("w").alias("b"), F.lit(False).alias("star"))
+    small = materialize(classes.select("u", "sketch").join(lists.select("u").distinct(), "u", "left_semi").dropDuplicates(["u", "sketch"]), "small")
+    labels: DataFrame | None = None
+    turn = 0
+    while not lists.isEmpty():
+        many = lists.filter(F.col("size") > SHORT)
+        few = lists.filter(F.col("size") <= SHORT).select("key", "u", "root")
+        other = few.select("key", F.col("u").alias("w"), F.col("root").alias("w_root"))
+        pairs = few.join(other, "key").filter("u < w and root <> w_root").select(F.col("u").alias("a"), F.col("w").alias("b"), F.lit(False).alias("star"))
         star = many.filter("u <> centre").select(F.col("u").alias("a"), F.col("centre").alias("b"), F.lit(True).alias("star"))
         judged = materialize(_judged(pairs.unionByName(star).distinct(), small, sets, percent), "judged")
-        new = judged.filter("linked").select("a", "b")
-        found = new if found is None else found.unionByName(new)
-        if last or many.isEmpty():
+        links = judged.filter("linked").select("a", "b")
+        if labels is not None:
+            links = links.unionByName(labels.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        now = components(links)
+        release(labels)
+        labels = now
+        if many.isEmpty():
             break
-        stars = judged.filter("star")
-        found = found.unionByName(materialize(_around(stars, percent), "around"))
+        # what is left of the long lists
+        scope = F.lit(0).cast("long") if turn < SCOPED else F.col("key")
+        stars = judged.filter("star").drop("star")
+        at = many.filter("u <> centre").select(scope.alias("scope"), F.col("u").alias("a"), F.col("centre").alias("b")).distinct()
+        apart = materialize(_differences(at.join(stars, ["a", "b"]), labels, percent, turn), "ranked")
         close = stars.filter("close").select(F.col("a").alias("u"), F.col("b").alias("centre"))
-        rest = many.filter("u <> centre").join(close, ["u", "centre"], "left_anti")
-        lists = _met(rest.select("key", "u", "score"))
-        if lists.isEmpty():
-            break
-    return found
+        rest = many.filter("u <> centre").join(close, ["u", "centre"], "left_anti").select("key", "space", "u", "score", "at", "level", (F.col("age") + 1).alias("age"))
+        rest = materialize(rest, "rest")
+        left = rest.filter(F.col("age") < AGE).unionByName(_refined(rest.filter(F.col("age") >= AGE), ranked))
+        if not apart.isEmpty():
+            left, ranked = left.unionByName(_listed(apart)), ranked.unionByName(apart)
+        left = _met(left, labels)
+        release(judged, lists, rest)
+        lists = left
+        turn += 1
+    release(sets, small)
+    return labels if labels is not None else components(lists.select(F.col("u").alias("a"), F.col("u").alias("b")))
+
+
+def _with(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
+    """``pairs`` (a, b, ...) with a column of both classes; a centre's row goes to the tasks that its members are dealt to."""
+    one = lambda x: of.select(F.col("u").alias(x), F.col(column).alias(f"{column}_{x}"))
+    heads = pairs.groupBy("b").agg(F.count("*").alias("_c"))
+    return join_salted(pairs.join(one("a"), "a"), one("b").join(heads, "b"), "b", "_c", pairs.count(), ["a"])
 
 
 def _judged(pairs: DataFrame, small: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b, star, linked, close and, for stars, the sizes and differences of the pairs that the estimate lets through."""
-    one = lambda d, x, c: d.select(F.col("u").alias(x), F.col(c).alias(f"{c}_{x}"))
-    near = pairs.join(one(small, "a", "sketch"), "a").join(one(small, "b", "sketch"), "b")
+    pairs = materialize(pairs, "pairs")
+    near = _with(pairs, small, "sketch")
     union = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, SKETCH)
     both = F.array_intersect("sketch_a", "sketch_b")
     shared, of = F.size(F.array_intersect(both, F.col("_union"))), F.size("_union")
     near = near.withColumn("_union", union).filter(
         F.when(F.col("star"), shared >= FAR * of).otherwise(shared * SKETCH >= _overlap(percent) * of)
     ).select("a", "b", "star")
-    full = near.join(one(sets, "a", "set"), "a").join(one(sets, "b", "set"), "b")
+    near = materialize(near.distinct(), "near")
+    full = _with(near, sets, "set")
     full = full.withColumn("_i", F.size(F.array_intersect("set_a", "set_b")).cast("long"))
     full = full.withColumn("_u", F.size("set_a") + F.size("set_b") - F.col("_i"))
     linked = F.col("_i") * 100 >= F.col("_u") * percent
@@ -218,40 +280,32 @@ def _judged(pairs: DataFrame, small: DataFrame, sets: DataFrame, percent: int) -
     )
 
 
-def _around(stars: DataFrame, percent: int) -> DataFrame:
-    """a, b: the links of far members, found by what they and others differ in from their centre.
+def _differences(stars: DataFrame, labels: DataFrame, percent: int, turn: int) -> DataFrame:
+    """The members of stars in which components still meet, ranked by what they differ in from their centre.
 
-    At least one of the two is close to the centre; of others, the next rounds take care.
+    At least one of two that link is close to the centre; of others, the next turns take care.
     For a far x and any y that link, with D the differences from the centre (A: more, B:
     less), |x ^ y| = |Dx ^ Dy| gives |Dx & Dy| > ((1 - d) |Ay| + |By|) / 2, where d is the
-    largest distance of a link, and |Dx & Dy| >= |Dx| - d / (1 - d) |x|.  For each pair,
-    |Dx & Dy| >= (|Dx| + |Dy| - d / (2 - d) (|x| + |y|)) / 2, which a first shared
-    difference late in the order of rarity rules out.
+    largest distance of a link, and |Dx & Dy| >= |Dx| - d / (1 - d) |x|.  The first holds
+    for both if both are far.
     """
     d = 1 - percent / 100
-    far = stars.groupBy("b").agg(F.count("*").alias("c"), F.count_if(~F.col("linked") & F.col("close")).alias("f")).filter("c > 1 and f > 0").select("b")
-    of = stars.join(far, "b", "left_semi").select(F.col("b").alias("c"), F.col("a").alias("u"), "n", (~F.col("linked")).alias("far"), (~F.col("linked") & F.col("close")).alias("act"), "more", "less")
-    of = of.withColumn("diff", F.concat("more", "less"))
+    act = ~F.col("linked") & F.col("close")
+    own = stars.join(labels.withColumnsRenamed({"node": "a", "root": "r"}), "a", "left").withColumn("r", F.coalesce("r", "a"))
+    far = own.groupBy("scope", "b").agg(F.min("r").alias("lo"), F.max("r").alias("hi"), F.count_if(act).alias("f"), F.count("*").alias("c")).filter("f > 0 and lo < hi")
+    space = F.xxhash64(F.lit(turn), "scope", "b")
+    of = stars.withColumn("space", space).join(F.broadcast(far.select(space.alias("space"))) if far.count() <= BROADCAST_IDS else far.select(space.alias("space")), "space", "left_semi")
+    of = of.select("space", F.col("a").alias("u"), "n", act.alias("act"), "more", "less", F.concat("more", "less").alias("diff"))
     half = F.size("diff") - F.floor((F.size("more") * (1 - d) + F.size("less")) / 2 - 1e-9)
     long = F.least(F.size("diff").cast("long"), F.floor(F.col("n") * (d / (1 - d)) + 1e-9) + 1)
-    each = of.select("c", "u", "n", "far", "act", F.size("diff").alias("k"), half.alias("half"), long.alias("long"), F.explode("diff").alias("x"))
-    common = each.groupBy("c", "x").agg(F.count("*").alias("df"), F.count_if("act").alias("f")).filter("df > 1 and f > 0").select("c", "x", "df")
-    ranked = each.join(common, ["c", "x"]).groupBy("c", "u", "n", "far", "act", "k", "half", "long").agg(F.sort_array(F.collect_list(F.struct("df", "x"))).alias("s"))
+    lim = F.when(F.col("act"), F.greatest(half, long)).otherwise(half)
+    each = of.select("space", "u", "act", F.size("diff").alias("k"), lim.alias("lim"), F.explode("diff").alias("x"))
+    each = each.withColumn("at", F.xxhash64("space", "x"))
     # differences that no far member shares are passed over, as the rarest
-    ranked = ranked.withColumn("half", F.col("half") - F.col("k") + F.size("s")).withColumn("long", F.when(F.col("act"), F.col("long") - F.col("k") + F.size("s")).otherwise(F.col("half")))
-    ranked = ranked.select("c", "u", "n", "far", "act", "half", "long", (F.col("k") - F.size("s")).alias("alone"), "k", F.posexplode(F.slice("s", 1, F.greatest(F.lit(0), F.greatest("half", "long")).cast("int"))).alias("at", "v"))
-    # what can still be shared from a difference on, if it is the first shared one
-    listed = ranked.select("c", F.col("v.x").alias("x"), "u", "n", "k", "far", "act", (F.col("at") < F.col("half")).alias("in_half"), (F.col("at") < F.col("long")).alias("in_long"), (F.col("k") - F.col("alone") - F.col("at")).alias("left"))
-    mate = listed.filter("in_half").select("c", "x", *[F.col(v).alias(f"w_{v}") for v in ("u", "n", "k", "far", "act", "left")])
-    # a far and a near member: the far one's long prefix; two far ones: their halves
-    kinds = "u <> w_u and ((not w_far and in_long) or (w_far and in_half and (u < w_u or not w_act)))"
-    enough = 2 * F.least("left", "w_left") >= F.col("k") + F.col("w_k") - (F.col("n") + F.col("w_n")) * (d / (2 - d)) - 1e-6
-    met = listed.filter("act").join(mate, ["c", "x"]).filter(F.expr(kinds) & enough).select("c", "u", F.col("w_u").alias("w")).distinct()
-    facts = of.select("c", "u", "n", "diff")
-    pair = met.join(facts.withColumnsRenamed({"n": "n_u", "diff": "diff_u"}), ["c", "u"]).join(facts.withColumnsRenamed({"u": "w", "n": "n_w", "diff": "diff_w"}), ["c", "w"])
-    apart = F.size("diff_u") + F.size("diff_w") - 2 * F.size(F.array_intersect("diff_u", "diff_w"))
-    # twice the intersection and twice the union
-    return pair.filter((F.col("n_u") + F.col("n_w") - apart) * 100 >= (F.col("n_u") + F.col("n_w") + apart) * percent).select(F.col("u").alias("a"), F.col("w").alias("b"))
+    common = each.groupBy("at").agg(F.count("*").alias("df"), F.count_if("act").alias("f")).filter("df > 1 and f > 0").select("at", "df", F.col("df").alias("c"))
+    common = materialize(common, "common")
+    met = join_salted(each, common, "at", "c", of.agg(F.sum(F.size("diff"))).first()[0] or 0, ["u"]).groupBy("space", "u", "k", "lim").agg(_rarest_first())
+    return _values(met, F.col("space"), F.col("lim") - F.col("k") + F.size("s"))
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
