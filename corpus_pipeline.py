@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from leafmill.llm import decontaminate, lang_id, near_dedup, packing, pii
 from leafmill.llm.common import materialize, table
+from leafmill.llm.token_counts import VOCABULARY
 
 #: Near copies from this many hundredths of similarity on; op7's query has a figure of its own.
 NEAR_PERCENT = 80
@@ -41,7 +42,7 @@ def pii_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document goes."""
-    return packing.pack(docs)
+    return packing.pack(docs, vocabulary=VOCABULARY)
 
 
 STAGES = [

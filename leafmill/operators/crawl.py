@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import host, resolve, root_url, same_domain
+from ..staging import materialize
 
 #: Pages of a domain, its root included.
 BUDGET, PREP_BUDGET = 3, 10
@@ -33,6 +34,15 @@ def update_status(store: DataFrame, where: Column, to: Column) -> DataFrame:
     return store.withColumn("updated_at", F.when(where, F.current_timestamp()).otherwise(F.col("updated_at"))).withColumn("status", F.when(where, to.cast(_STATUS)).otherwise(F.col("status")))
 
 
+def set_html_data(store: DataFrame, fetched: DataFrame) -> DataFrame:
+    """The store with html_source and title of the URLs in ``fetched`` (url, html_source, title), each at most once there; their status stays."""
+    new = fetched.select(F.col("url").alias("_u"), F.col("html_source").alias("_h"), F.col("title").alias("_t"), F.lit(True).alias("_new"))
+    got = store.join(new, F.col("url") == F.col("_u"), "left")
+    pick = lambda new, old: F.when(F.col("_new"), F.col(new)).otherwise(F.col(old)).alias(old)
+    now = F.when(F.col("_new"), F.current_timestamp()).otherwise(F.col("updated_at")).alias("updated_at")
+    return got.select("domain", "url", "status", pick("_h", "html_source"), pick("_t", "title"), "created_at", now)
+
+
 def lookup(store: DataFrame, url: str) -> DataFrame:
     """The URL's row; URLs without a host are never found."""
     return store.filter((F.col("url") == url) & (F.col("domain") == host(F.lit(url))))
@@ -53,20 +63,54 @@ def page_links(parsed: DataFrame) -> DataFrame:
     return r.groupBy("page_id", "domain", "url").agg(F.min("pos").alias("pos"))
 
 
+def _link_urls() -> Column:
+    """The resolved links of a parsed page within its domain, in document order, each once; an array."""
+    full = F.transform("hrefs", lambda h: resolve(h, F.col("domain")))
+    return F.array_distinct(F.filter(full, lambda u: same_domain(u, F.col("domain"))))
+
+
 def frontier(parsed_roots: DataFrame, budget: int = BUDGET) -> DataFrame:
     """domain, url, rank: the root first, then its page's links in document order, ``budget`` at most.
 
-    The links of a page are ranked within the page, so a window never holds more than one page's.
+    A page's links are ranked within its row: nothing is shuffled, and a page is parsed once.
+    """
+    links = F.slice(F.array_except(_link_urls(), F.array("url")), 1, budget - 1)
+    one = parsed_roots.select("domain", F.concat(F.array("url"), F.coalesce(links, F.array().cast("array<string>"))).alias("_all"))
+    return one.select("domain", F.posexplode("_all").alias("rank", "url")).select("domain", "url", "rank")
+
+
+def seeded_frontier(parsed: DataFrame, initial: str, budget: int = BUDGET) -> DataFrame:
+    """domain, url, rank of a crawl from one URL: that URL, its domain's root, then other links, ``budget`` in all.
+
+    ``parsed``: at most one row, the page that links are taken from; without it there are
+    only the two seeds.  A link that is another spelling of the root (``is_root_url``) uses
+    up budget but isn't visited.
     """
-    links = page_links(parsed_roots).join(parsed_roots.select(F.col("page_id").alias("_p"), F.col("url").alias("_root")), F.col("page_id") == F.col("_p"))
-    links = links.filter("url <> _root").withColumn("rank", F.row_number().over(Window.partitionBy("page_id").orderBy("pos")))
-    roots = parsed_roots.select("domain", "url", F.lit(0).alias("rank"))
-    return roots.unionByName(links.filter(F.col("rank") < budget).select("domain", "url", "rank"))
+    from ..functions.urls import is_root_url
+
+    seed = parsed.sparkSession.createDataFrame([(initial,)], "initial string")
+    seed = seed.select("initial", host(F.col("initial")).alias("own")).filter("own is not null")
+    first = seed.select("own", F.array_distinct(F.array("initial", root_url(F.col("own")))).alias("seeds"), "initial")
+    more = parsed.select(F.col("domain").alias("own"), _link_urls().alias("links"))
+    both = first.join(more, "own", "left")
+    extra = F.slice(F.array_except(F.coalesce("links", F.array().cast("array<string>")), "seeds"), F.lit(1), F.greatest(F.lit(0), F.lit(budget) - F.size("seeds")))
+    visited = F.concat("seeds", F.filter(extra, lambda u: ~is_root_url(u)))
+    return both.select(F.col("own").alias("domain"), F.posexplode(visited).alias("rank", "url")).select("domain", "url", "rank")
+
+
+#: Up to so many URLs (some 100 bytes each) are broadcast to pick their stored pages.
+BROADCAST_URLS = 100_000
 
 
 def fetch(urls: DataFrame, pages: DataFrame) -> DataFrame:
-    """``urls`` (domain, url, rank) with status and html_source from the stored pages."""
-    stored = pages.groupBy("url").agg(F.max_by(F.struct("page_id", "html"), "page_id").alias("p"))
+    """``urls`` (domain, url, rank) with status and html_source from the stored pages.
+
+    The URLs are written once; only stored pages that one of them names are aggregated.
+    """
+    urls = materialize(urls, "frontier")
+    names = urls.select("url").distinct()
+    named = pages.join(F.broadcast(names) if urls.count() <= BROADCAST_URLS else names, "url", "left_semi")
+    stored = named.groupBy("url").agg(F.max_by(F.struct("page_id", "html"), F.struct(F.col("page_id"))).alias("p"))
     got = urls.join(stored, "url", "left")
     html = F.col("p.html")
     state = (

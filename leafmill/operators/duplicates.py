@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import host
 from ..sources.pages import node_table, parse_pages
+from ..staging import join_salted
 
 # Page scaffolding, and elements that count even when bare.
 STRUCTURAL = "html head body main article section".split()
@@ -14,6 +15,27 @@ SEMANTIC = "nav header footer aside form button a ul ol menu".split()
 MASK = "[FILTERED DUPLICATE]"
 
 
+#: What a duplicate is told by; parsing for duplicates yields nothing else.
+FIELDS = ("size", "tag", "classes", "id", "content", "sig")
+#: Up to so many URLs that are stored more than once are broadcast to pick their rows.
+BROADCAST_URLS = 100_000
+
+
+def current(pages: DataFrame) -> DataFrame:
+    """``pages`` (page_id, url, html) with each URL once: the row with the largest page_id, as a store keeps what came last.
+
+    Only rows of repeated URLs are shuffled with their html.  Of rows that also share
+    their page_id, that with the largest html counts; a null page_id is smaller than any.
+    Rows without a URL are left out.
+    """
+    p = pages.select("page_id", "url", "html").filter("url is not null")
+    repeated = p.groupBy("url").count().filter("count > 1").select("url")
+    few = repeated.limit(BROADCAST_URLS + 1).count() <= BROADCAST_URLS
+    side = F.broadcast(repeated) if few else repeated
+    last = p.join(side, "url", "left_semi").groupBy("url").agg(F.max(F.struct("page_id", "html")).alias("p"))
+    return p.join(side, "url", "left_anti").unionByName(last.select("p.page_id", "url", "p.html"))
+
+
 def eligible_domains(pages: DataFrame) -> DataFrame:
     """The domains (exact hosts) with at least two pages of different URLs."""
     p = pages.select(host(F.col("url")).alias("domain"), "url").filter("domain is not null")
@@ -22,7 +44,7 @@ def eligible_domains(pages: DataFrame) -> DataFrame:
 
 def eligible_pages(pages: DataFrame) -> DataFrame:
     """The pages of eligible domains, each URL once, so that only these are parsed."""
-    one = pages.select("page_id", "url", "html").withColumn("domain", host(F.col("url")))
+    one = current(pages).withColumn("domain", host(F.col("url")))
     return one.join(eligible_domains(pages), "domain", "left_semi").select("page_id", "url", "html")
 
 
@@ -44,7 +66,7 @@ def domain_duplicates(pages: DataFrame) -> DataFrame:
 
     Occurrences are counted, not pages: two equal elements of one page are duplicates.
     """
-    return signature_counts(node_table(parse_pages(eligible_pages(pages), with_path=False, links=False)))
+    return signature_counts(node_table(parse_pages(eligible_pages(pages), links=False, fields=FIELDS)))
 
 
 def merge_duplicates(known: DataFrame, new: DataFrame) -> DataFrame:
@@ -62,6 +84,12 @@ def domain_summary(pages: DataFrame, duplicates: DataFrame) -> DataFrame:
 
 
 def mask_duplicates(nodes: DataFrame, duplicates: DataFrame) -> DataFrame:
-    """The nodes, all of them, with the content of duplicates replaced, containers included."""
-    hit = duplicates.select("domain", "sig", F.lit(True).alias("_hit")).distinct()
-    return nodes.join(hit, ["domain", "sig"], "left").withColumn("content", F.when(F.col("_hit"), MASK).otherwise(F.col("content"))).drop("_hit").select(nodes.columns)
+    """The nodes, all of them, with the content of duplicates replaced, containers included.
+
+    A signature that a large site repeats on every page is met by several tasks.
+    """
+    hit = duplicates.groupBy("domain", "sig").agg(F.max("occurrences").alias("_n")).withColumn("_hit", F.lit(True))
+    total = hit.agg(F.sum("_n")).first()[0] or 0
+    by = [c for c in nodes.columns if c not in ("domain", "sig")]
+    out = join_salted(nodes, hit, ["domain", "sig"], "_n", total, by, "left")
+    return out.withColumn("content", F.when(F.col("_hit"), MASK).otherwise(F.col("content"))).select(nodes.columns)

@@ -10,7 +10,8 @@ from ..functions.templates import apply_templates, with_templates
 
 def template_paths(nodes: DataFrame) -> DataFrame:
     """domain, components, template_pattern: each path and pattern once a domain."""
-    t = with_templates(nodes.filter("content <> ''").select("domain", "path", "content"))
+    # a template replaces a number, so nothing else is looked into
+    t = with_templates(nodes.filter(F.col("content").rlike(r"(?U)\d")).select("domain", "path", "content"))
     return t.filter(F.col("template_pattern").isNotNull()).select("domain", F.col("path").alias("components"), "template_pattern").distinct()
 
 
@@ -25,14 +26,21 @@ def paths_json(paths: DataFrame) -> DataFrame:
     return paths.groupBy("domain").agg(F.to_json(F.struct(F.array_sort(F.collect_set(one)).alias("detected_paths")), {"pretty": "true"}).alias("json"))
 
 
-def normalized(nodes: DataFrame) -> DataFrame:
+def normalized(pages: DataFrame) -> DataFrame:
     """Nodes whose contents are their patterns, signed anew, so that texts of one template are duplicates.
 
-    The new signature covers the flat list of a subtree, as the parser's own does.
+    ``pages``: parsed pages, or their node table; of a node table, rows of one page_id, url
+    and domain must be one page's.  Pages without a host keep their nodes.  The new
+    signature covers the flat list of a subtree, as the parser's own does.
     """
     page = ["page_id", "url", "domain"]
-    d = apply_templates(nodes)
-    rows = d.groupBy(*page).agg(F.sort_array(F.collect_list(F.struct("pre", "tag", "classes", "id", "content"))).alias("_all"))
-    d = d.join(rows, page)
-    flat = F.transform(F.slice("_all", F.col("pre") + 1, F.col("size")), lambda n: F.struct(n["tag"], n["classes"], n["id"], n["content"]))
-    return d.withColumn("sig", F.sha2(F.to_json(flat), 256)).drop("_all").select(nodes.columns)
+    if "nodes" in pages.columns:
+        pages = pages.select(*page, F.monotonically_increasing_id().alias("_row"), F.inline("nodes"))
+    keys = [*page, "_row"] if "_row" in pages.columns else page
+    fields = [c for c in pages.columns if c not in keys and c != "sig"]
+    # (domain, page) pairs are grouped null-safe, and nothing is joined back
+    d = apply_templates(pages).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pre", *[c for c in fields if c != "pre"]))).alias("_all"))
+    d = d.withColumn("_flat", F.transform("_all", lambda n: F.struct(n["tag"], n["classes"], n["id"], n["content"])))
+    d = d.select(*page, "_flat", F.inline("_all"))
+    sig = F.sha2(F.to_json(F.slice("_flat", F.col("pre") + 1, F.col("size"))), 256)
+    return d.select(*page, *fields, sig.alias("sig"))

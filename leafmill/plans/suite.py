@@ -15,6 +15,7 @@ from ..functions import templates as T
 from ..functions import urls as U
 from ..operators import crawl, duplicates, paths, report, template_paths
 from ..sources import pages as P
+from ..staging import materialize
 from . import site
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +42,8 @@ _plain = lambda x: f"replace(replace(replace(replace(replace(replace(replace({x}
 _clean = lambda x: f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
 _AD = _clean(_plain("regexp_extract(html, '<div class=\"ad\">([^<]*)</div>', 1)"))
 _HREFS = "SELECT page_id, url, u.href, u.pos FROM (SELECT page_id, url, regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1) AS h FROM pages), LATERAL (SELECT unnest(h) AS href, generate_subscripts(h, 1) - 1 AS pos) AS u"
+#: Each URL once, as a store holds it.
+_LAST = "(SELECT url, arg_max(html, page_id) AS html FROM pages GROUP BY url)"
 _MANY = f"(SELECT {_HOST} AS domain FROM pages GROUP BY 1 HAVING count(DISTINCT url) > 1)"
 
 
@@ -82,18 +85,18 @@ def _parsed(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
 
 @query(f"SELECT page_id, href, 'https://' || {_HOST} || href AS resolved FROM ({_HREFS})")
 def resolve_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = _parsed(spark, sf_dir, with_path=False).select("page_id", "domain", F.explode("hrefs").alias("href"))
+    h = _parsed(spark, sf_dir, fields=()).select("page_id", "domain", F.explode("hrefs").alias("href"))
     return h.select("page_id", "href", U.resolve(F.col("href"), F.col("domain")).alias("resolved"))
 
 
 @query(f"SELECT page_id, 'https://' || {_HOST} || href AS link, min(pos)::INT AS pos FROM ({_HREFS}) GROUP BY ALL")
 def same_domain_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return crawl.page_links(_parsed(spark, sf_dir, with_path=False)).select("page_id", F.col("url").alias("link"), "pos")
+    return crawl.page_links(_parsed(spark, sf_dir, fields=())).select("page_id", F.col("url").alias("link"), "pos")
 
 
 def _frontier(spark: SparkSession, sf_dir: str, budget: int) -> DataFrame:
     roots = crawl.root_pages(_table(spark, sf_dir, "pages"))
-    return crawl.frontier(P.parse_pages(roots, with_path=False), budget)
+    return crawl.frontier(P.parse_pages(roots, fields=()), budget)
 
 
 _FRONTIER = lambda budget: f"""
@@ -155,32 +158,32 @@ _TITLE = f"{_clean(_plain('regexp_extract(html, ' + chr(39) + '<title>([^<]*)</t
 
 @query(f"SELECT page_id, nullif({_TITLE}, '') AS title FROM pages")
 def page_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.titles(_parsed(spark, sf_dir, with_path=False, links=False)).select("page_id", "title")
+    return P.titles(_parsed(spark, sf_dir, links=False, fields=("tag", "content"))).select("page_id", "title")
 
 
-def _nodes(spark: SparkSession, sf_dir: str, with_path: bool = False) -> DataFrame:
-    return P.node_table(_parsed(spark, sf_dir, with_path=with_path, links=False))
+def _nodes(spark: SparkSession, sf_dir: str, *fields: str, paths: str = "all") -> DataFrame:
+    return P.node_table(_parsed(spark, sf_dir, links=False, fields=fields, paths=paths))
 
 
 @query(f"SELECT page_id, {_clean(_plain('unnest(regexp_extract_all(html, ' + chr(39) + '<li><a href=' + chr(34) + '[^' + chr(34) + ']*' + chr(34) + '>([^<]*)</a></li>' + chr(39) + ', 1))'))} AS content FROM pages")
 def parse_nodes_nav(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _nodes(spark, sf_dir).filter("tag = 'a'").select("page_id", "content")
+    return _nodes(spark, sf_dir, "tag", "content").filter("tag = 'a'").select("page_id", "content")
 
 
 @query(f"SELECT page_id, {_AD} AS content, 'ad' AS classes FROM pages WHERE {_AD} <> ''")
 def parse_nodes_ad(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = _nodes(spark, sf_dir).filter(F.array_contains("classes", "ad"))
+    n = _nodes(spark, sf_dir, "classes", "content").filter(F.array_contains("classes", "ad"))
     return n.select("page_id", "content", F.array_join("classes", " ").alias("classes"))
 
 
 @query(f"SELECT page_id, {_clean(_plain('regexp_extract(html, ' + chr(39) + '<h1>([^<]*)</h1>' + chr(39) + ', 1)'))} AS content FROM pages WHERE {_clean(_plain('regexp_extract(html, ' + chr(39) + '<h1>([^<]*)</h1>' + chr(39) + ', 1)'))} <> ''")
 def parse_nodes_h1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _nodes(spark, sf_dir).filter("tag = 'h1'").select("page_id", "content")
+    return _nodes(spark, sf_dir, "tag", "content").filter("tag = 'h1'").select("page_id", "content")
 
 
 @query()
 def parse_tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _nodes(spark, sf_dir).groupBy("tag").agg(F.count("*").alias("n"), F.max("depth").alias("deepest"), F.max("size").alias("largest"))
+    return _nodes(spark, sf_dir, "tag", "depth", "size").groupBy("tag").agg(F.count("*").alias("n"), F.max("depth").alias("deepest"), F.max("size").alias("largest"))
 
 
 # --- duplicates
@@ -190,7 +193,7 @@ def domain_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("domain", "sig", "tag", F.array_join("classes", " ").alias("classes"), "id", "content", "occurrences")
 
 
-_LINKS = f"SELECT {_HOST} AS domain, {_clean(_plain('unnest(regexp_extract_all(html, ' + chr(39) + '<li><a href=' + chr(34) + '[^' + chr(34) + ']*' + chr(34) + '>([^<]*)</a></li>' + chr(39) + ', 1))'))} AS content FROM pages"
+_LINKS = f"SELECT {_HOST} AS domain, {_clean(_plain('unnest(regexp_extract_all(html, ' + chr(39) + '<li><a href=' + chr(34) + '[^' + chr(34) + ']*' + chr(34) + '>([^<]*)</a></li>' + chr(39) + ', 1))'))} AS content FROM {_LAST}"
 
 
 @query(f"SELECT domain, content, count(*) AS occurrences FROM ({_LINKS}) WHERE domain IN {_MANY} GROUP BY ALL HAVING count(*) > 1")
@@ -206,7 +209,10 @@ def domain_duplicates_li(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ADS = f"SELECT page_id, {_HOST} AS domain, {_AD} AS content FROM pages"
 
 
-@query(f"SELECT domain, content, count(*) AS occurrences FROM ({_ADS}) WHERE domain IN {_MANY} AND content <> '' GROUP BY ALL HAVING count(*) > 1")
+_LAST_ADS = f"SELECT {_HOST} AS domain, {_AD} AS content FROM {_LAST}"
+
+
+@query(f"SELECT domain, content, count(*) AS occurrences FROM ({_LAST_ADS}) WHERE domain IN {_MANY} AND content <> '' GROUP BY ALL HAVING count(*) > 1")
 def domain_duplicates_ad(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = duplicates.domain_duplicates(_table(spark, sf_dir, "pages"))
     return d.filter(F.array_contains("classes", "ad")).select("domain", "content", "occurrences")
@@ -218,11 +224,14 @@ def domain_duplicate_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.domain_summary(p, duplicates.domain_duplicates(p))
 
 
-@query(f"""SELECT page_id, CASE WHEN domain IN {_MANY} AND count(*) OVER (PARTITION BY domain, content) > 1 THEN '{duplicates.MASK}' ELSE content END AS content
-FROM ({_ADS}) WHERE content <> ''""")
+@query(f"""WITH d AS (SELECT domain, content FROM ({_LAST_ADS}) WHERE domain IN {_MANY} GROUP BY ALL HAVING count(*) > 1)
+SELECT page_id, CASE WHEN d.content IS NULL THEN a.content ELSE '{duplicates.MASK}' END AS content
+FROM ({_ADS}) a LEFT JOIN d ON a.domain = d.domain AND a.content = d.content WHERE a.content <> ''""")
 def mask_duplicates_ad(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _table(spark, sf_dir, "pages")
-    masked = duplicates.mask_duplicates(_nodes(spark, sf_dir), duplicates.domain_duplicates(p))
+    parsed = materialize(P.parse_pages(p, links=False, fields=duplicates.FIELDS), "parsed")
+    last = parsed.join(duplicates.current(p).select("page_id", "url"), ["page_id", "url"], "left_semi").join(duplicates.eligible_domains(p), "domain", "left_semi")
+    masked = duplicates.mask_duplicates(P.node_table(parsed), duplicates.signature_counts(P.node_table(last)))
     return masked.filter(F.array_contains("classes", "ad")).select("page_id", "content")
 
 
@@ -294,44 +303,48 @@ def _cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_id").alias("page_id"), _say("https://", site, ".example.com/", n).alias("url"), html.alias("html"))
 
 
+def _card_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.parse_pages(_cards(spark, sf_dir), links=False, fields=("content", "path"), paths="digits")
+
+
 _SITES = "(SELECT DISTINCT CASE WHEN event_id % 2 = 0 THEN 'even' ELSE 'odd' END || '.example.com' AS domain FROM events)"
 
 
 @query(f"""SELECT domain, 'html > body > div.comments' AS path, '{{count}} comments' AS template_pattern FROM {_SITES}
 UNION ALL SELECT domain, 'html > body > ul > li.when.small', '{{time}} hours ago' FROM {_SITES}""")
 def template_element_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = template_paths.template_paths(P.node_table(P.parse_pages(_cards(spark, sf_dir), links=False)))
+    found = template_paths.template_paths(P.node_table(_card_nodes(spark, sf_dir)))
     return found.select("domain", template_paths.path_text().alias("path"), "template_pattern")
 
 
 @query()
 def template_paths_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return template_paths.paths_json(template_paths.template_paths(P.node_table(P.parse_pages(_cards(spark, sf_dir), links=False))))
+    return template_paths.paths_json(template_paths.template_paths(P.node_table(_card_nodes(spark, sf_dir))))
 
 
 @query()
 def template_element_paths_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = template_paths.template_paths(_nodes(spark, sf_dir, True))
+    found = template_paths.template_paths(_nodes(spark, sf_dir, "content", "path", paths="digits"))
     return found.select("domain", template_paths.path_text().alias("path"), "template_pattern")
 
 
 @query("""SELECT CASE WHEN event_id % 2 = 0 THEN 'even' ELSE 'odd' END || '.example.com' AS domain, t.tag, t.content, count(*) AS occurrences
 FROM events, (VALUES ('div', '{count} comments'), ('li', '{time} hours ago'), ('li', 'Just text'), ('ul', '')) AS t(tag, content) GROUP BY ALL HAVING count(*) > 1""")
 def template_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = P.node_table(P.parse_pages(_cards(spark, sf_dir), with_path=False, links=False))
-    return duplicates.signature_counts(template_paths.normalized(nodes)).select("domain", "tag", "content", "occurrences")
+    parsed = P.parse_pages(_cards(spark, sf_dir), links=False, fields=("pre", *duplicates.FIELDS))
+    return duplicates.signature_counts(template_paths.normalized(parsed)).select("domain", "tag", "content", "occurrences")
 
 
 # --- path queries
 @query(f"SELECT page_id, content, count(*) AS matches FROM (SELECT page_id, {_clean(_plain('unnest(regexp_extract_all(html, ' + chr(39) + '<li><a href=' + chr(34) + '[^' + chr(34) + ']*' + chr(34) + '>([^<]*)</a></li>' + chr(39) + ', 1))'))} AS content FROM pages) GROUP BY ALL")
 def find_by_path_nav(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = paths.find_by_path(_nodes(spark, sf_dir, True), "html body nav ul li a")
+    found = paths.find_by_path(_nodes(spark, sf_dir, "tag", "classes", "content", "path"), "html body nav ul li a")
     return found.groupBy("page_id", "content").agg(F.sum("matches").alias("matches"))
 
 
 @query(f"SELECT page_id, {_AD} AS content, 1::BIGINT AS matches FROM pages WHERE {_AD} <> ''")
 def find_by_path_ad(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paths.find_by_path(_nodes(spark, sf_dir, True), "body div.ad").select("page_id", "content", "matches")
+    return paths.find_by_path(_nodes(spark, sf_dir, "tag", "classes", "content", "path"), "body div.ad").select("page_id", "content", "matches")
 
 
 @query("SELECT o_orderkey AS page_id, (o_orderkey % 5) + 1 AS matches FROM orders, range((o_orderkey % 5) + 1)")
@@ -339,18 +352,18 @@ def find_by_path_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _table(spark, sf_dir, "orders")
     deep = F.expr("repeat('<div class=\"x y\">', cast(o_orderkey % 5 + 1 as int))")
     page = o.select(F.col("o_orderkey").alias("page_id"), F.lit("https://a.example.com/").alias("url"), F.concat(deep, F.lit("<p>leaf")).alias("html"))
-    return paths.find_by_path(P.node_table(P.parse_pages(page, links=False)), "div.y p", repeat=True).select("page_id", "matches")
+    return paths.find_by_path(P.node_table(P.parse_pages(page, links=False, fields=("tag", "classes", "path"))), "div.y p", repeat=True).select("page_id", "matches")
 
 
 # --- reports
 @query(f"SELECT url, coalesce(nullif({_TITLE}, ''), 'No title found') AS title, {_HOST} AS domain FROM pages")
 def crawl_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.listing(P.titles(_parsed(spark, sf_dir, with_path=False, links=False)))
+    return report.listing(P.titles(_parsed(spark, sf_dir, links=False, fields=("tag", "content"))))
 
 
 @query(f"SELECT {_HOST} AS domain, '  - ' || url || ' (' || coalesce(nullif({_TITLE}, ''), 'No title') || ')' AS line FROM pages")
 def prep_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.prep_listing(P.titles(_parsed(spark, sf_dir, with_path=False, links=False)))
+    return report.prep_listing(P.titles(_parsed(spark, sf_dir, links=False, fields=("tag", "content"))))
 
 
 # --- whole runs
@@ -364,3 +377,14 @@ def site_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def site_prep_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = site.run(_cards(spark, sf_dir), prep=True).findings
     return found.select("domain", template_paths.path_text().alias("path"), "template_pattern")
+
+
+@query(f"""WITH d AS (SELECT {_HOST} AS domain, url FROM pages WHERE page_id = (SELECT min(page_id) FROM pages)),
+l AS (SELECT d.domain, d.url AS initial, 'https://' || d.domain || h.href AS link, min(h.pos) AS pos FROM d JOIN ({_HREFS}) h ON h.page_id = (SELECT max(page_id) FROM pages p WHERE p.url = d.url) GROUP BY ALL),
+r AS (SELECT domain, link AS url, row_number() OVER (ORDER BY pos) + 1 AS rank FROM l WHERE link <> initial AND link <> 'https://' || domain || '/'),
+f AS (SELECT domain, url, 0 AS rank FROM d UNION ALL SELECT domain, 'https://' || domain || '/', 1 FROM d UNION ALL SELECT domain, url, rank FROM r WHERE rank < {crawl.BUDGET})
+SELECT f.domain, f.url, f.rank::INT AS rank, CASE WHEN f.url IN (SELECT url FROM pages) THEN 'Success' ELSE 'Failed' END AS state FROM f""")
+def site_from_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _table(spark, sf_dir, "pages")
+    first = p.orderBy("page_id").select("url").first()
+    return site.run_from(p, first.url if first else "").urls.select("domain", "url", "rank", F.col("status.state").alias("state"))

@@ -128,6 +128,64 @@ def tokens(text: str):
 
 
 _MARK = Element("#marker")
+_TABLE_SCOPE = frozenset(("html", "table", "template"))
+_FOREIGN = frozenset(("svg", "math"))
+#: Elements that decide how tokens are taken, and the mode's name where it isn't the tag.
+_MODES = {"td": "cell", "th": "cell", "tbody": "rows", "thead": "rows", "tfoot": "rows", "tr": "", "caption": "", "colgroup": "", "table": "", "select": "", "body": "", "template": ""}
+_LI_BARRIERS = SPECIAL - {"address", "div", "p"}
+
+
+class Stack(list):
+    """The open elements, with their places by tag, so that scopes cost the same at any depth."""
+
+    def __init__(self, elements=()) -> None:
+        super().__init__(elements)
+        self._index()
+
+    def _index(self) -> None:
+        self.places: dict[str, list[int]] = {}
+        for i, e in enumerate(self):
+            self.places.setdefault(e.tag, []).append(i)
+        self.held = set(map(id, self))
+
+    def append(self, e: Element) -> None:
+        self.places.setdefault(e.tag, []).append(len(self))
+        self.held.add(id(e))
+        super().append(e)
+
+    def pop(self) -> Element:
+        e = super().pop()
+        self.places[e.tag].pop()
+        self.held.discard(id(e))
+        return e
+
+    def highest(self, tags) -> int:
+        """The place nearest to the top of any of the tags; -1 if none is open."""
+        places = self.places
+        some = tags if len(tags) < len(places) else places
+        return max((places[t][-1] for t in some if t in tags and places.get(t)), default=-1)
+
+    def __contains__(self, e: object) -> bool:
+        return id(e) in self.held
+
+    def index(self, e: Element) -> int:
+        return next(i for i in reversed(self.places[e.tag]) if self[i] is e)
+
+    # rarer changes, by the adoption agency and misplaced forms
+    def __setitem__(self, k, e) -> None:
+        super().__setitem__(k, e)
+        self._index()
+
+    def __delitem__(self, k) -> None:
+        super().__delitem__(k)
+        self._index()
+
+    def insert(self, k: int, e: Element) -> None:
+        super().insert(k, e)
+        self._index()
+
+    def remove(self, e: Element) -> None:
+        del self[self.index(e)]
 
 
 class Builder:
@@ -135,7 +193,7 @@ class Builder:
 
     def __init__(self) -> None:
         self.root = Element("html")
-        self.stack, self.active = [self.root], []
+        self.stack, self.active = Stack([self.root]), []
         self.head: Element | None = None
         self.body: Element | None = None
         self.form: Element | None = None
@@ -147,20 +205,12 @@ class Builder:
         return self.stack[-1]
 
     def scoped(self, tags: frozenset | set, more: frozenset = frozenset()) -> bool:
-        for e in reversed(self.stack):
-            if e.tag in tags:
-                return True
-            if e.tag in SCOPE or e.tag in more:
-                return False
-        return False
+        at = self.stack.highest(tags)
+        return at >= 0 and at >= max(self.stack.highest(SCOPE), self.stack.highest(more))
 
     def table_scoped(self, tags: set) -> bool:
-        for e in reversed(self.stack):
-            if e.tag in tags:
-                return True
-            if e.tag in ("html", "table", "template"):
-                return False
-        return False
+        at = self.stack.highest(tags)
+        return at >= 0 and at >= self.stack.highest(_TABLE_SCOPE)
 
     def pop_to(self, tags: set | frozenset) -> None:
         while len(self.stack) > 1 and self.stack.pop().tag not in tags:
@@ -178,7 +228,7 @@ class Builder:
     # --- insertion
     def place(self, kid: Element | str, foster: bool = False) -> None:
         if foster and self.top.tag in ("table", "tbody", "tfoot", "thead", "tr"):
-            k = max((i for i, e in enumerate(self.stack) if e.tag == "table"), default=0)
+            k = max(0, self.stack.highest({"table"}))
             table = self.stack[k]
             if table.parent is not None:
                 table.parent.add(kid, table)
@@ -272,7 +322,7 @@ class Builder:
                 new.add(last)
                 last = new
             if above.tag in ("table", "tbody", "tfoot", "thead", "tr"):
-                tops, self.stack = self.stack, self.stack[:at]
+                tops, self.stack = self.stack, Stack(self.stack[:at])
                 if last.parent is not None:
                     last.parent.kids = [x for x in last.parent.kids if x is not last]
                     last.parent = None
@@ -297,14 +347,12 @@ class Builder:
             self.stack.insert(self.stack.index(block) + 1, new)
 
     def other_end(self, tag: str) -> None:
-        for e in reversed(self.stack):
-            if e.tag == tag and e is not self.root:
-                self.imply(tag)
-                while self.stack.pop() is not e:
-                    pass
-                return
-            if e.tag in SPECIAL:
-                return
+        at = self.stack.highest({tag})
+        if at > 0 and at >= self.stack.highest(SPECIAL):
+            e = self.stack[at]
+            self.imply(tag)
+            while self.stack.pop() is not e:
+                pass
 
     # --- modes before the body
     def ensure_head(self) -> None:
@@ -320,14 +368,11 @@ class Builder:
             self.body = self.insert("body", attrs or {})
 
     def mode(self) -> str:
-        for e in reversed(self.stack):
-            if e.tag in ("td", "th"):
-                return "cell"
-            if e.tag in ("tr", "caption", "colgroup", "table", "select", "body", "template"):
-                return e.tag
-            if e.tag in ("tbody", "thead", "tfoot"):
-                return "rows"
-        return "body"
+        at = self.stack.highest(_MODES)
+        if at < 0:
+            return "body"
+        tag = self.stack[at].tag
+        return _MODES[tag] or tag
 
     # --- tokens
     def text(self, s: str) -> None:
@@ -470,13 +515,11 @@ class Builder:
             return
         if tag in ("li", "dd", "dt"):
             same = {"li"} if tag == "li" else {"dd", "dt"}
-            for e in reversed(self.stack):
-                if e.tag in same:
-                    self.imply(e.tag)
-                    self.pop_to({e.tag})
-                    break
-                if e.tag in SPECIAL and e.tag not in ("address", "div", "p"):
-                    break
+            at = self.stack.highest(same)
+            if at >= 0 and at >= self.stack.highest(_LI_BARRIERS - same):
+                own = self.stack[at].tag
+                self.imply(own)
+                self.pop_to({own})
             self.close_p()
             self.insert(tag, attrs, foster)
             return
@@ -490,7 +533,7 @@ class Builder:
                 if a.tag == "a":
                     self.adopt("a")
                     self.forget(a)
-                    self.stack = [e for e in self.stack if e is not a]
+                    self.stack = Stack(e for e in self.stack if e is not a)
                     break
         elif tag == "image":
             tag = "img"
@@ -512,7 +555,7 @@ class Builder:
             self.push_active(e)
         elif tag in MARKED:
             self.active.append(_MARK)
-        foreign = tag in ("svg", "math") or any(x.tag in ("svg", "math") for x in self.stack[:-1])
+        foreign = tag in ("svg", "math") or self.stack.highest(_FOREIGN) >= 0
         if tag in VOID or closed and foreign:
             self.stack.pop()
 

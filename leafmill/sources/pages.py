@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import host
+from ..staging import spread
 from .htmltree import Element, parse
 
 # Elements without a tree of their own.
@@ -22,11 +23,15 @@ _BASE = 0x5A17C3E9_41B6D2F8_0F3C9A75_2E8B6D11 % _PRIME
 _BASE_INV = pow(_BASE, -1, _PRIME)
 
 PART = "struct<tag:string,classes:array<string>>"
-NODE = f"struct<pre:int,parent:int,depth:int,ord:int,size:int,tag:string,classes:array<string>,id:string,content:string,sig:string,path:array<{PART}>>"
 _PART = pa.struct([("tag", pa.string()), ("classes", pa.list_(pa.string()))])
-_NODE = pa.struct(
-    [("pre", pa.int32()), ("parent", pa.int32()), ("depth", pa.int32()), ("ord", pa.int32()), ("size", pa.int32()), ("tag", pa.string()), ("classes", pa.list_(pa.string())), ("id", pa.string()), ("content", pa.string()), ("sig", pa.string()), ("path", pa.list_(_PART))]
-)
+#: A node's fields, their SQL types and their Arrow types.
+FIELDS = {
+    **{k: ("int", pa.int32()) for k in ("pre", "parent", "depth", "ord", "size")},
+    "tag": ("string", pa.string()), "classes": ("array<string>", pa.list_(pa.string())), "id": ("string", pa.string()), "content": ("string", pa.string()),
+    "sig": ("string", pa.string()), "path": (f"array<{PART}>", pa.list_(_PART)),
+}
+#: Pages whose trees a worker holds at a time.
+PAGES = 32
 
 
 def clean(text: str) -> str:
@@ -44,8 +49,8 @@ def _texts(e: Element) -> str:
     return " ".join(out)
 
 
-def nodes_of(root: Element, with_path: bool = True) -> list[dict]:
-    """The kept elements in pre-order.
+def columns_of(root: Element) -> dict[str, list]:
+    """The kept elements in pre-order, a list for each field, without signatures and paths.
 
     An element is kept if it is the root, or not ignored and not blank.  Only elements
     without kept children have content: all text below them, collapsed.
@@ -64,41 +69,58 @@ def nodes_of(root: Element, with_path: bool = True) -> list[dict]:
         kept[id(e)], content[id(e)] = kids, "" if kids else clean(_texts(e))
         if kids or content[id(e)] or e is root:
             alive.add(id(e))
-    out: list[dict] = []
-    stack: list[tuple[Element, int | None, int, int, list]] = [(root, None, 0, 0, [])]
+    out: dict[str, list] = {k: [] for k in FIELDS if k not in ("sig", "path")}
+    stack: list[tuple[Element, int | None, int, int]] = [(root, None, 0, 0)]
     while stack:
-        e, parent, depth, order, above = stack.pop()
-        classes = [c for c in _SPACE.split(e.attrs.get("class", "")) if c]
-        path = [*above, {"tag": e.tag, "classes": classes}] if with_path else None
-        pre = len(out)
-        out.append({"pre": pre, "parent": parent, "depth": depth, "ord": order, "size": 1, "tag": e.tag, "classes": classes, "id": clean_edges(e.attrs.get("id", "")) or None, "content": content[id(e)], "sig": None, "path": path})
-        stack.extend((k, pre, depth + 1, i, path or []) for i, k in reversed([*enumerate(kept[id(e)])]))
-    for n in reversed(out):
-        if n["parent"] is not None:
-            out[n["parent"]]["size"] += n["size"]
-    _sign(out)
+        e, parent, depth, order = stack.pop()
+        pre, own = len(out["pre"]), e.attrs.get("class")
+        classes = [c for c in _SPACE.split(own) if c] if own else []
+        for k, v in zip(out, (pre, parent, depth, order, 1, e.tag, classes, clean_edges(e.attrs.get("id", "")) or None, content[id(e)]), strict=True):
+            out[k].append(v)
+        stack.extend((k, pre, depth + 1, i) for i, k in reversed([*enumerate(kept[id(e)])]))
+    sizes = out["size"]
+    for pre in range(len(sizes) - 1, 0, -1):
+        sizes[out["parent"][pre]] += sizes[pre]
     return out
 
 
+def chains(parents: list[int | None]) -> Iterator[list[int]]:
+    """Each node's ancestors and itself, from the root."""
+    above: list[int] = []
+    depth: list[int] = []
+    for pre, parent in enumerate(parents):
+        depth.append(0 if parent is None else depth[parent] + 1)
+        del above[depth[pre] :]
+        above.append(pre)
+        yield above
+
+
+def nodes_of(root: Element, with_path: bool = True) -> list[dict]:
+    """The kept elements in pre-order, as ``columns_of`` has them, with signatures and, if asked for, paths."""
+    c = columns_of(root)
+    c["sig"] = signatures(c)
+    parts = [{"tag": t, "classes": k} for t, k in zip(c["tag"], c["classes"], strict=True)]
+    c["path"] = [[parts[i] for i in chain] for chain in chains(c["parent"])] if with_path else [None] * len(parts)
+    return [dict(zip(c, row, strict=True)) for row in zip(*c.values(), strict=True)]
+
+
 def clean_edges(s: str) -> str:
     return s.strip(_WHITE)
 
 
-def _sign(nodes: list[dict]) -> None:
+def signatures(c: dict[str, list]) -> list[str]:
     """A signature of each node's flat pre-order list of (tag, classes, id, content), itself included.
 
     It is a polynomial hash over the list, taken from sums over prefixes, so that deep
     pages cost no more than flat ones.
     """
     sums, powers, inverse = [0], 1, [1]
-    for n in nodes:
-        own = blake2b(repr((n["tag"], n["classes"], n["id"], n["content"])).encode("utf-8", "surrogatepass"), digest_size=15).digest()
-        sums.append((sums[-1] + (int.from_bytes(own) + 1) * powers) % _PRIME)
+    for own in zip(c["tag"], c["classes"], c["id"], c["content"], strict=True):
+        digest = blake2b(repr(own).encode("utf-8", "surrogatepass"), digest_size=15).digest()
+        sums.append((sums[-1] + (int.from_bytes(digest) + 1) * powers) % _PRIME)
         powers = powers * _BASE % _PRIME
         inverse.append(inverse[-1] * _BASE_INV % _PRIME)
-    for n in nodes:
-        a, b = n["pre"], n["pre"] + n["size"]
-        n["sig"] = f"{(sums[b] - sums[a]) * inverse[a] % _PRIME:032x}"
+    return [f"{(sums[a + n] - sums[a]) * inverse[a] % _PRIME:032x}" for a, n in enumerate(c["size"])]
 
 
 def hrefs_of(root: Element) -> list[str]:
@@ -114,24 +136,65 @@ def hrefs_of(root: Element) -> list[str]:
     return out
 
 
-def parse_pages(pages: DataFrame, with_path: bool = True, links: bool = True, keep: Column | None = None) -> DataFrame:
+_DIGIT = re.compile(r"\d")
+
+
+def _arrays(trees: list[dict[str, list]], fields: list[str], paths: str) -> pa.Array:
+    """The pages' node lists as one Arrow array of the asked-for fields."""
+    flat: dict[str, pa.Array] = {}
+    for k in fields:
+        if k not in ("sig", "path"):
+            flat[k] = pa.array([x for c in trees for x in c[k]], FIELDS[k][1])
+    if "sig" in fields:
+        flat["sig"] = pa.array([x for c in trees for x in signatures(c)], pa.string())
+    if "path" in fields:
+        part = pa.StructArray.from_arrays([flat.get("tag", pa.array([x for c in trees for x in c["tag"]], pa.string())), flat.get("classes", pa.array([x for c in trees for x in c["classes"]], pa.list_(pa.string())))], fields=[*_PART])
+        starts: list[int | None] = []
+        chosen: list[int] = []
+        first = 0
+        for c in trees:
+            for chain, content in zip(chains(c["parent"]), c["content"], strict=True):
+                here = paths == "all" or _DIGIT.search(content) is not None
+                starts.append(len(chosen) if here else None)
+                if here:
+                    chosen.extend(first + i for i in chain)
+            first += len(c["pre"])
+        flat["path"] = pa.ListArray.from_arrays(pa.array([*starts, len(chosen)], pa.int32()), part.take(pa.array(chosen, pa.int64())))
+    offsets = [0]
+    for c in trees:
+        offsets.append(offsets[-1] + len(c["pre"]))
+    nodes = pa.StructArray.from_arrays([flat[k] for k in fields], fields=[pa.field(k, FIELDS[k][1]) for k in fields])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), nodes)
+
+
+def parse_pages(pages: DataFrame, with_path: bool = True, links: bool = True, keep: Column | None = None, fields: Iterable[str] | None = None, paths: str = "all") -> DataFrame:
     """page_id, url, domain, nodes (pre-order) and hrefs of each page; a null html is an empty page.
 
+    ``fields``: what a node holds, so that nothing else is computed or leaves Python; all
+    of ``FIELDS`` by default, or all but the path without ``with_path``; no nodes at all if
+    it is empty.  ``paths="digits"``: only nodes whose content has a digit have a path.
     ``keep``: a condition on page_id, url and domain; pages that fail it aren't parsed.
     """
     p = pages.select("page_id", "url", host(F.col("url")).alias("domain"), "html")
     if keep is not None:
         p = p.filter(keep)
+    p = spread(p)
+    own = [k for k in FIELDS if (k in set(fields) if fields is not None else with_path or k != "path")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            roots = [parse(t.as_py()) for t in b.column("html")]
-            nodes = pa.array([nodes_of(r, with_path) for r in roots], pa.list_(_NODE))
-            hrefs = pa.array([hrefs_of(r) if links else [] for r in roots], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("page_id", "url", "domain")), nodes, hrefs], names=["page_id", "url", "domain", "nodes", "hrefs"])
+        for big in batches:
+            for at in range(0, big.num_rows, PAGES):
+                b = big.slice(at, PAGES)
+                roots = [parse(t.as_py()) for t in b.column("html")]
+                cols = [b.column(c) for c in ("page_id", "url", "domain")]
+                if own:
+                    cols.append(_arrays([columns_of(r) for r in roots], own, paths))
+                cols.append(pa.array([hrefs_of(r) if links else [] for r in roots], pa.list_(pa.string())))
+                yield pa.RecordBatch.from_arrays(cols, names=["page_id", "url", "domain", *(["nodes"] if own else []), "hrefs"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return p.mapInArrow(run, f"page_id {kind}, url string, domain string, nodes array<{NODE}>, hrefs array<string>")
+    nodes = f"nodes array<struct<{','.join(f'{k}:{FIELDS[k][0]}' for k in own)}>>, " if own else ""
+    return p.mapInArrow(run, f"page_id {kind}, url string, domain string, {nodes}hrefs array<string>")
 
 
 def node_table(parsed: DataFrame) -> DataFrame:

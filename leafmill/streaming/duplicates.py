@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..operators.duplicates import signature_counts
+from ..operators.duplicates import FIELDS, signature_counts
 from ..sources.pages import node_table, parse_pages
 
 
@@ -14,4 +14,4 @@ def streaming_duplicates(pages: DataFrame) -> DataFrame:
     Counts only grow, so a signature that has once been a duplicate stays one.  Whether
     a domain has two pages is for the sink to check: a stream can't look back.
     """
-    return signature_counts(node_table(parse_pages(pages, with_path=False, links=False)))
+    return signature_counts(node_table(parse_pages(pages, links=False, fields=FIELDS)))

@@ -159,4 +159,40 @@ def test_site(spark):
     assert {(r.url, r.title) for r in s.report.collect()} == {("https://e.com/", "Home"), ("https://e.com/a", "No title found")}
     prep = site.run(p, prep=True)
     assert {(r.domain, r.template_pattern) for r in prep.findings.collect()} == {("e.com", "{count} comments"), ("o.org", "{count} likes")}
-    assert site.run_from(p, "https://e.com/a").urls.count() == 1
+    # the URL and its root are both visited, and compared
+    one = site.run_from(p, "https://e.com/a")
+    assert [(r.url, r["rank"], r.status.state) for r in one.urls.orderBy("rank").collect()] == [("https://e.com/a", 0, "Success"), ("https://e.com/", 1, "Success")]
+    assert [(r.tag, r.content, r.occurrences) for r in one.findings.collect()] == [("nav", "Menu", 2)]
+    far = site.run_from(p, "https://e.com/gone")
+    assert [r.url for r in far.urls.orderBy("rank").collect()] == ["https://e.com/gone", "https://e.com/", "https://e.com/a"]
+    assert site.run_from(p, "no url").urls.count() == 0
+
+
+def test_a_url_counts_once(spark):
+    p = spark.createDataFrame([(1, "https://e.com/1", "<nav>Old</nav>"), (2, "https://e.com/1", "<nav>Menu</nav>"), (3, "https://e.com/2", "<p>x</p>"), (3, "https://e.com/2", "<p>x</p>"), (None, "https://e.com/2", "<p>y</p>"), (4, None, "<p>x</p>")], "page_id long, url string, html string")
+    assert sorted((r.page_id, r.html) for r in duplicates.current(p).collect()) == [(2, "<nav>Menu</nav>"), (3, "<p>x</p>")]
+    assert duplicates.domain_duplicates(p).count() == 0
+    assert duplicates.domain_duplicates(p.limit(0)).count() == 0
+
+
+def test_templates_of_pages_without_a_host(spark):
+    p = spark.createDataFrame([(1, None, "<p>3 likes</p>"), (1, None, "<p>4 likes</p><p>5 views</p>"), (2, "x", "<p>6 likes</p>")], "page_id long, url string, html string")
+    got = template_paths.normalized(P.parse_pages(p)).filter("tag = 'p'")
+    assert sorted((r.page_id, r.content) for r in got.collect()) == [(1, "{count} likes"), (1, "{count} likes"), (1, "{count} views"), (2, "{count} likes")]
+    assert got.filter("content = '{count} likes'").select("sig").distinct().count() == 1
+
+
+def test_html_data(spark):
+    store = crawl.new_urls(spark.createDataFrame([("https://e.com/1",), ("https://e.com/2",)], "url string"))
+    got = crawl.set_html_data(store, spark.createDataFrame([("https://e.com/1", "<p>", "T")], "url string, html_source string, title string"))
+    assert got.columns == store.columns
+    assert {(r.url, r.html_source, r.title, r.status.state) for r in got.collect()} == {("https://e.com/1", "<p>", "T", "Pending"), ("https://e.com/2", None, None, "Pending")}
+
+
+def test_asked_for_fields(spark):
+    p = pages(spark, ("https://e.com/1", "<div class=a><p>x 1</p><p>y</p></div>"))
+    all_, some = P.node_table(P.parse_pages(p)), P.node_table(P.parse_pages(p, fields=("content", "path"), paths="digits"))
+    assert some.columns == ["page_id", "url", "domain", "content", "path"]
+    want = {(r.content, str(r.path) if "1" in r.content else "None") for r in all_.collect()}
+    assert {(r.content, str(r.path)) for r in some.collect()} == want
+    assert P.parse_pages(p, fields=()).columns == ["page_id", "url", "domain", "hrefs"]

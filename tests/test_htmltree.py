@@ -2,6 +2,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import time
+
 from leafmill.sources.htmltree import parse
 from leafmill.sources.pages import hrefs_of, nodes_of
 
@@ -59,3 +61,10 @@ def test_invariants(parts):
 
 def test_deep_page():
     assert len(nodes_of(parse("<div>" * 3000 + "x"), with_path=False)) == 3002
+
+
+def test_depth_costs_nothing_extra():
+    began = time.time()
+    root = parse("<div>" * 20_000 + "x")
+    assert time.time() - began < 5  # minutes, if every element looked through the open ones
+    assert len(nodes_of(root, with_path=False)) == 20_002
