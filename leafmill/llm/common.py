@@ -2,81 +2,22 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-import weakref
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL_ROOT: list[str] = []
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``.  A temporary folder is made
-    only where that is unset and the session runs in one JVM, as in tests.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    master = spark.conf.get("spark.master", "")
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _LOCAL_ROOT:
-        _LOCAL_ROOT.append(tempfile.mkdtemp(prefix="leafmill-"))
-        atexit.register(shutil.rmtree, _LOCAL_ROOT[0], True)
-    return _LOCAL_ROOT[0]
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs a reread, not a recomputation.
-    """
-    spark, path = df.sparkSession, f"{shared_root(df.sparkSession)}/leafmill-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    where, fs = _place(spark, path)
-    fs.deleteOnExit(where)
-    out = spark.read.schema(df.schema).parquet(path)
-    _WRITTEN[id(out)] = (weakref.ref(out), path)
-    return out
-
-
-_WRITTEN: dict[int, tuple[weakref.ref, str]] = {}
-
-
-def _place(spark: SparkSession, path: str):
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
-
+from ..staging import ROWS, join_salted, materialize, partitions, release, shared_root, sliced, spread
 
-def release(*tables: DataFrame | None) -> None:
-    """Delete tables that ``materialize`` wrote and that nothing reads any more; the others go when the session ends."""
-    for t in tables:
-        ref, path = _WRITTEN.pop(id(t), (None, ""))
-        if ref is not None and ref() is t:
-            where, fs = _place(t.sparkSession, path)
-            fs.delete(where, True)
+__all__ = ["ROWS", "join_salted", "join_skewed", "lower_ascii", "materialize", "partitions", "release", "shared_root", "sliced", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def join_skewed(rows: DataFrame, side: DataFrame, on: list[str], count: str, n: int, how: str = "inner") -> DataFrame:
     """``rows`` joined with ``side``, which holds each key once and in ``count`` how many of the ``n`` rows have it.
 
@@ -89,32 +30,3 @@ def join_skewed(rows: DataFrame, side: DataFrame, on: list[str], count: str, n:
     stay = rows.join(F.broadcast(hot), on, how)
     go = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on, how)
     return stay.unionByName(go)
-
-
-def join_salted(rows: DataFrame, side: DataFrame, on: str, count: str, n: int, by: list[str], how: str = "inner") -> DataFrame:
-    """``rows`` joined with ``side`` as by ``join_skewed``, for a ``side`` too wide to be broadcast.
-
-    The rows of a hot key are dealt to several tasks by a hash of their columns ``by``, and
-    the key's row of ``side`` goes to each of these.  Only the hot keys, at most eight a
-    partition, are broadcast, each with its number of tasks.
-    """
-    least = n // (8 * partitions(rows.sparkSession)) + 1
-    tasks = F.ceil(F.col(count) / least).cast("int")
-    hot = side.filter(F.col(count) > least).select(on, tasks.alias("_tasks"))
-    dealt = rows.join(F.broadcast(hot), on, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*by), F.col("_tasks")).cast("int"), F.lit(0)))
-    each = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(tasks, F.lit(1)) - 1)))
-    return dealt.drop("_tasks").join(each.drop(count), [on, "_salt"], how).drop("_salt")
-
-
-#: Rows that a Python step holds at a time; Arrow hands over up to 10,000.
-ROWS = 256
-
-
-def sliced(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
-    """``run`` over small pieces of the batches, so that a worker's memory follows some rows, not a batch."""
-
-    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS))
-        yield from run(pieces)
-
-    return small

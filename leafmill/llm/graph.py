@@ -27,12 +27,12 @@ def components(edges: DataFrame) -> DataFrame:
         else:
             sizes = labels.groupBy("root").agg(F.count("*").alias("c"))
             up = hook.select(F.col("a").alias("root"), "p").join(sizes, "root")
-            new = join_salted(labels, up, "root", "c", labels.count(), ["node"], "left").select("node", F.coalesce("p", "root").alias("root"))
+            new = join_salted(labels, up, ["root"], "c", labels.count(), ["node"], "left").select("node", F.coalesce("p", "root").alias("root"))
             new = materialize(new, "labels")
         # an edge is there in both directions, so a node is as often an end as a start
         ends = lambda x, y: hook.select(F.col("a").alias(x), F.col("p").alias(y), "c")
-        moved = join_salted(edges, ends("a", "p"), "a", "c", n, ["b"]).select("p", "b")
-        moved = join_salted(moved, ends("b", "q"), "b", "c", n, ["p"]).select(F.col("p").alias("a"), F.col("q").alias("b"))
+        moved = join_salted(edges, ends("a", "p"), ["a"], "c", n, ["b"]).select("p", "b")
+        moved = join_salted(moved, ends("b", "q"), ["b"], "c", n, ["p"]).select(F.col("p").alias("a"), F.col("q").alias("b"))
         left = materialize(moved.filter("a <> b").distinct(), "edges")
         release(labels, edges, hook)
         labels, edges = new, left
@@ -45,4 +45,4 @@ def components(edges: DataFrame) -> DataFrame:
 def _halved(hook: DataFrame, n: int) -> DataFrame:
     below = hook.groupBy("p").agg(F.count("*").alias("d"))
     up = hook.select(F.col("a").alias("p"), F.col("p").alias("q")).join(below, "p")
-    return join_salted(hook, up, "p", "d", n, ["a"]).select("a", F.col("q").alias("p"), "c")
+    return join_salted(hook, up, ["p"], "d", n, ["a"]).select("a", F.col("q").alias("p"), "c")

@@ -14,17 +14,19 @@ their smallest doc_id.
    centre, the member whose values are most widely shared.
 4. The union sketch estimates each pair's similarity and drops what can't be linked;
    the exact Jaccard similarity of the full sets confirms the others.  The components of
-   what is linked so far are found, and a list whose members are in one goes.
+   what is linked so far are found, and a list whose members are in one goes.  Of lists
+   with the same members one is kept.
 5. What is left of a long list.  A far member x, one that isn't linked with the centre,
    can link with y only if they share more than half of y's differences from the centre:
    else their differences would add up, and leave them as far from each other as x is
    from the centre.  So differences are listed, rarest first again and as many as such an
-   overlap asks for.  These lists go through the same turn: pairs if short, a star and
-   differences from its centre if long.  So a family of copies that is far from the
-   centre costs a star, not its pairs.
-6. Members hardly similar to their centre stay in their list, which gets another centre
-   in the next turn.  After ``AGE`` of them the list is split by one more value that a
-   link must share.  Turns end when no list is left in which components meet.
+   overlap asks for.  In these lists, too, pairs are compared if they are short, and a
+   star if they are long; so a family of copies that is far from the centre costs a
+   star, not its pairs.
+6. What a star leaves, in a list by differences all but its centre and in a list by values
+   those hardly similar to their centre, goes to shorter lists, by one more value or
+   difference that a link must share.  Turns end when no list is left in which
+   components meet.
 
 Defined cases: null, empty and word-less texts have an empty set (n_shingles 0) and
 link with nothing; rows with a null doc_id link with nothing, have a null component
@@ -59,10 +61,6 @@ SKETCH = 48
 MISS = 1e-7
 #: Lists of up to so many members give all their pairs; of longer ones no more than a star comes at a time.
 SHORT = 8
-#: After so many stars a list's other members are dealt to shorter lists, by one more shared value.
-AGE = 2
-#: From this turn on differences from a centre are listed apart for each list, so that lists only get shorter.
-SCOPED = 8
 #: A star's pair is looked into if the estimate is at least this; below, the member stays in its list.
 FAR = 0.06
 #: A member this much more similar to the centre than what links with it must be leaves the list: that is looked into as well.
@@ -135,54 +133,94 @@ def _prefix(n: Column, percent: int) -> Column:
 
 
 def _ranked(classes: DataFrame, percent: int) -> DataFrame:
-    """space, u, lim, score, s: each class's retained values that another class retains too, rarest first, of which the first ``lim`` are listed."""
+    """space, u, lim, order, s: each class's retained values that another class retains too, rarest first, of which the first ``lim`` are listed."""
     each = classes.select("sig", "u", "n", F.size("sketch").alias("kept"), F.explode("sketch").alias("x"))
     common = materialize(each.groupBy("x").agg(F.count("*").alias("df")).filter("df > 1").withColumn("c", F.col("df")), "common")
     n = classes.agg(F.sum(F.size("sketch"))).first()[0] or 0
-    met = join_salted(each, common, "x", "c", n, ["sig"]).groupBy("sig", "u", "n", "kept").agg(_rarest_first())
+    met = join_salted(each, common, ["x"], "c", n, ["sig"]).groupBy("sig", "u", "n", "kept").agg(_rarest_first())
     # values that nobody else retains are rarer, and come first
     lim = _prefix(F.col("n"), percent) - (F.col("kept") - F.size("s"))
-    return _values(met, F.lit(0).cast("long"), lim)
+    # the centre's values are the most widely shared
+    order = -F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x["df"]) / F.col("kept")
+    return _values(met, F.lit(0).cast("long"), lim, order)
 
 
 def _rarest_first() -> Column:
     return F.sort_array(F.collect_list(F.struct("df", "x"))).alias("s")
 
 
-def _values(met: DataFrame, space: Column, lim: Column) -> DataFrame:
-    score = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x["df"])
-    return met.select(space.alias("space"), "u", lim.cast("int").alias("lim"), score.alias("score"), F.transform("s", lambda x: x["x"]).alias("s"))
+def _values(met: DataFrame, space: Column, lim: Column, order: Column) -> DataFrame:
+    s = F.transform("s", lambda x, i: F.struct(i.alias("p"), x["x"].alias("x")))
+    return met.select(space.alias("space"), "u", lim.cast("int").alias("lim"), order.cast("double").alias("order"), s.alias("s"))
+
+
+_TAIL = "array<struct<p:int,x:bigint>>"
 
 
 def _listed(ranked: DataFrame) -> DataFrame:
-    """key, space, u, score, at, level, age: the inverted lists of ranked values."""
+    """key, space, u, order, seq, room, cap, tail: the inverted lists of ranked values.
+
+    ``seq`` are the places of the shared values that a list stands for, the next one is
+    among the first ``room`` of the values behind these, and ``cap`` can be shared at most;
+    ``tail`` has the values behind once the list was split, and is null before.
+    """
     first = F.slice("s", F.lit(1), F.greatest(F.lit(0), F.col("lim")))
-    each = ranked.select("space", "u", "score", F.posexplode(first).alias("at", "x"))
-    return each.select(F.xxhash64("space", "x").alias("key"), "space", "u", "score", "at", F.lit(1).alias("level"), F.lit(0).alias("age"))
+    each = ranked.select("space", "u", "order", "lim", F.size("s").alias("k"), F.posexplode(first).alias("at", "v"))
+    return each.select(
+        F.xxhash64("space", "v.x").alias("key"), "space", "u", "order", F.array("at").alias("seq"), (F.col("lim") - F.col("at")).alias("room"), (F.col("k") - F.col("at")).alias("cap"), F.lit(None).cast(_TAIL).alias("tail")
+    )
 
 
-def _refined(lists: DataFrame, ranked: DataFrame) -> DataFrame:
-    """The lists split by one more shared value.
+def _refined(lists: DataFrame, done: DataFrame, ranked: DataFrame) -> DataFrame:
+    """The lists split by one more shared value, without the rows in ``done`` (key, u).
 
-    Of a pair that needs k values in common and meets first at one place, another k - 1
-    are behind that place; so the next is among as many as were listed, and one more a level.
+    Of two that need k values in common, k - 1 are behind the first one that they share;
+    so the next is among as many as were listed for the first.  A value that all members
+    of a list have, its centre too, is taken as shared and splits nothing.
     """
-    own = lists.join(ranked.select("space", "u", "lim", "s"), ["space", "u"])
-    more = F.slice("s", F.col("at") + 2, F.greatest(F.lit(0), F.col("lim") + F.col("level") - F.col("at") - 1))
-    each = own.select("key", "space", "u", "score", "at", "level", F.posexplode(more).alias("i", "x"))
-    return each.select(F.xxhash64("key", "x").alias("key"), "space", "u", "score", (F.col("at") + 1 + F.col("i")).alias("at"), (F.col("level") + 1).alias("level"), F.lit(0).alias("age"))
+    lists = lists.select("key", "space", "u", "order", "seq", "room", "cap", "tail")
+    own = ranked.select("space", "u", "s")
+    new = lists.filter("tail is null").join(own, ["space", "u"]).withColumn("tail", F.slice("s", F.col("seq")[0] + 2, F.size("s"))).drop("s")
+    rows = materialize(new.unionByName(lists.filter("tail is not null")), "tails")
+    n, sizes = rows.count(), rows.groupBy("key").agg(F.count("*").alias("m"))
+    counts = rows.select("key", F.explode("tail").alias("v")).groupBy("key", "v.x").agg(F.count("*").alias("df")).filter("df > 1")
+    counts = materialize(counts.join(sizes, "key"), "counts")
+    gone = counts.filter("df = m").groupBy("key", "m").agg(F.collect_set("x").alias("gone"))
+    rest = F.filter("tail", lambda v: ~F.array_contains("gone", v["x"]))
+    cut = join_salted(rows.join(done, ["key", "u"], "left_anti"), gone, ["key"], "m", n, ["u"], "left").withColumn("tail", F.when(F.col("gone").isNull(), F.col("tail")).otherwise(rest)).drop("gone")
+    cut = materialize(cut, "tails")
+    each = cut.select("key", "u", F.posexplode(F.slice("tail", F.lit(1), F.greatest(F.lit(0), F.col("room")))).alias("j", "v")).select("key", "u", "j", "v.p", "v.x")
+    some = counts.filter("df < m").select(F.xxhash64("key", "x").alias("next"), "df")
+    total = some.agg(F.sum("df")).first()[0] or 0
+    met = join_salted(each.withColumn("next", F.xxhash64("key", "x")), some, ["next"], "df", total, ["u"]).drop("x")
+    out = met.join(cut, ["key", "u"]).select(
+        F.col("next").alias("key"), "space", "u", "order", F.concat("seq", F.array("p")).alias("seq"), (F.col("room") - F.col("j")).alias("room"), (F.col("cap") - F.col("j")).alias("cap"),
+        F.slice("tail", F.col("j") + 2, F.size("tail")).alias("tail"),
+    )
+    out = materialize(out, "split")
+    release(rows, counts, cut)
+    return out
 
 
 def _met(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """The lists in which two components meet, with their sizes and centres."""
+    """The lists in which two components meet, with their sizes and centres.
+
+    Of lists with the same members one is enough: that of the rarest values.
+    """
     if labels is None:
         own = lists.withColumn("root", F.col("u"))
     else:
         own = lists.join(labels.withColumnsRenamed({"node": "u", "root": "r"}), "u", "left").withColumn("root", F.coalesce("r", "u")).drop("r")
         own = materialize(own, "lists")
-    about = own.groupBy("key").agg(F.count("*").alias("size"), F.max_by("u", F.struct("score", "u")).alias("centre"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    about = materialize(about.filter("lo < hi").drop("lo", "hi").withColumn("c", F.col("size")), "about")
-    out = materialize(join_salted(own, about, "key", "c", own.count(), ["u"]), "lists")
+    about = own.groupBy("key").agg(
+        F.count("*").alias("size"), F.min_by("u", F.struct("order", "u")).alias("centre"), F.min("order").alias("least"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.first("space").alias("space"),
+        F.bit_xor(F.xxhash64("u")).alias("h1"), F.bit_xor(F.xxhash64("u", F.lit(1))).alias("h2"), F.min(F.struct("u", "seq")).alias("first"),
+    ).filter("lo < hi")
+    about = about.groupBy("space", "size", "h1", "h2", F.size("first.seq")).agg(F.min(F.struct("first.seq", "key", "centre", "least")).alias("best"))
+    about = materialize(about.select("best.key", "size", "best.centre", "best.least", F.col("size").alias("c")), "about")
+    out = join_salted(own, about, ["key"], "c", own.count(), ["u"])
+    # by differences, 2 * shared >= order + order makes a link, so some can't have any
+    out = materialize(out.filter((F.col("space") == 0) | (F.col("order") + F.col("least") <= 2 * F.col("cap") + 1e-6)), "lists")
     release(own, about)
     return out
 
@@ -199,7 +237,7 @@ def groups(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataF
     roots = _connected(docs, classes, repeated, percent, words)
     # two classes may share their smallest doc_id, where rows share it
     side = classes.select("sig", "u", "c").join(roots, F.col("u") == F.col("node"), "left").select("sig", F.coalesce("root", "u").alias("root"), "c")
-    of = join_salted(known.select("doc_id", "sig"), side, "sig", "c", known.count(), ["doc_id"])
+    of = join_salted(known.select("doc_id", "sig"), side, ["sig"], "c", known.count(), ["doc_id"])
     best = of.groupBy("doc_id").agg(F.min("root").alias("component_id"))
     named = rows.filter("doc_id is not null").select("doc_id", F.col("n").alias("n_shingles")).join(best, "doc_id", "left")
     named = named.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -225,26 +263,25 @@ def _connected(docs: DataFrame, classes: DataFrame, repeated: bool, percent: int
         star = many.filter("u <> centre").select(F.col("u").alias("a"), F.col("centre").alias("b"), F.lit(True).alias("star"))
         judged = materialize(_judged(pairs.unionByName(star).distinct(), small, sets, percent), "judged")
         links = judged.filter("linked").select("a", "b")
-        if labels is not None:
-            links = links.unionByName(labels.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        now = components(links)
-        release(labels)
-        labels = now
+        if labels is None:
+            labels = components(links)
+        elif not links.isEmpty():
+            labels, old = components(links.unionByName(labels.select(F.col("node").alias("a"), F.col("root").alias("b")))), labels
+            release(old)
         if many.isEmpty():
             break
-        # what is left of the long lists
-        scope = F.lit(0).cast("long") if turn < SCOPED else F.col("key")
+        # what is left of the long lists; in those by differences, nobody but the centre is done
         stars = judged.filter("star").drop("star")
-        at = many.filter("u <> centre").select(scope.alias("scope"), F.col("u").alias("a"), F.col("centre").alias("b")).distinct()
-        apart = materialize(_differences(at.join(stars, ["a", "b"]), labels, percent, turn), "ranked")
-        close = stars.filter("close").select(F.col("a").alias("u"), F.col("b").alias("centre"))
-        rest = many.filter("u <> centre").join(close, ["u", "centre"], "left_anti").select("key", "space", "u", "score", "at", "level", (F.col("age") + 1).alias("age"))
-        rest = materialize(rest, "rest")
-        left = rest.filter(F.col("age") < AGE).unionByName(_refined(rest.filter(F.col("age") >= AGE), ranked))
-        if not apart.isEmpty():
+        at = many.filter("u <> centre and space = 0").select(F.col("u").alias("a"), F.col("centre").alias("b")).distinct()
+        at = at.join(stars, ["a", "b"])
+        apart = None if at.filter("close and not linked").isEmpty() else materialize(_differences(at, labels, percent, turn), "ranked")
+        close = stars.filter("close").select(F.col("a").alias("u"), F.col("b").alias("centre"), F.lit(0).cast("long").alias("space"))
+        done = many.filter("u = centre").select("key", "u").unionByName(many.join(close, ["u", "centre", "space"], "left_semi").select("key", "u"))
+        left = _refined(many, done, ranked)
+        if apart is not None:
             left, ranked = left.unionByName(_listed(apart)), ranked.unionByName(apart)
         left = _met(left, labels)
-        release(judged, lists, rest)
+        release(judged, lists)
         lists = left
         turn += 1
     release(sets, small)
@@ -255,7 +292,7 @@ def _with(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
     """``pairs`` (a, b, ...) with a column of both classes; a centre's row goes to the tasks that its members are dealt to."""
     one = lambda x: of.select(F.col("u").alias(x), F.col(column).alias(f"{column}_{x}"))
     heads = pairs.groupBy("b").agg(F.count("*").alias("_c"))
-    return join_salted(pairs.join(one("a"), "a"), one("b").join(heads, "b"), "b", "_c", pairs.count(), ["a"])
+    return join_salted(pairs.join(one("a"), "a"), one("b").join(heads, "b"), ["b"], "_c", pairs.count(), ["a"])
 
 
 def _judged(pairs: DataFrame, small: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -285,27 +322,29 @@ def _differences(stars: DataFrame, labels: DataFrame, percent: int, turn: int) -
 
     At least one of two that link is close to the centre; of others, the next turns take care.
     For a far x and any y that link, with D the differences from the centre (A: more, B:
-    less), |x ^ y| = |Dx ^ Dy| gives |Dx & Dy| > ((1 - d) |Ay| + |By|) / 2, where d is the
+    less), n = |x| and v(x) = |Dx| - n d / (2 - d), x and y link if 2 |Dx & Dy| >= v(x) + v(y);
+    so what isn't linked with a list's member of least v shares more with others than what
+    all share, and the list may be split.  |x ^ y| = |Dx ^ Dy| also gives |Dx & Dy| > ((1 - d) |Ay| + |By|) / 2, where d is the
     largest distance of a link, and |Dx & Dy| >= |Dx| - d / (1 - d) |x|.  The first holds
     for both if both are far.
     """
     d = 1 - percent / 100
     act = ~F.col("linked") & F.col("close")
     own = stars.join(labels.withColumnsRenamed({"node": "a", "root": "r"}), "a", "left").withColumn("r", F.coalesce("r", "a"))
-    far = own.groupBy("scope", "b").agg(F.min("r").alias("lo"), F.max("r").alias("hi"), F.count_if(act).alias("f"), F.count("*").alias("c")).filter("f > 0 and lo < hi")
-    space = F.xxhash64(F.lit(turn), "scope", "b")
+    far = own.groupBy("b").agg(F.min("r").alias("lo"), F.max("r").alias("hi"), F.count_if(act).alias("f")).filter("f > 0 and lo < hi")
+    space = F.xxhash64(F.lit(turn), "b")
     of = stars.withColumn("space", space).join(F.broadcast(far.select(space.alias("space"))) if far.count() <= BROADCAST_IDS else far.select(space.alias("space")), "space", "left_semi")
     of = of.select("space", F.col("a").alias("u"), "n", act.alias("act"), "more", "less", F.concat("more", "less").alias("diff"))
     half = F.size("diff") - F.floor((F.size("more") * (1 - d) + F.size("less")) / 2 - 1e-9)
     long = F.least(F.size("diff").cast("long"), F.floor(F.col("n") * (d / (1 - d)) + 1e-9) + 1)
     lim = F.when(F.col("act"), F.greatest(half, long)).otherwise(half)
-    each = of.select("space", "u", "act", F.size("diff").alias("k"), lim.alias("lim"), F.explode("diff").alias("x"))
+    each = of.select("space", "u", "n", "act", F.size("diff").alias("k"), lim.alias("lim"), F.explode("diff").alias("x"))
     each = each.withColumn("at", F.xxhash64("space", "x"))
     # differences that no far member shares are passed over, as the rarest
     common = each.groupBy("at").agg(F.count("*").alias("df"), F.count_if("act").alias("f")).filter("df > 1 and f > 0").select("at", "df", F.col("df").alias("c"))
     common = materialize(common, "common")
-    met = join_salted(each, common, "at", "c", of.agg(F.sum(F.size("diff"))).first()[0] or 0, ["u"]).groupBy("space", "u", "k", "lim").agg(_rarest_first())
-    return _values(met, F.col("space"), F.col("lim") - F.col("k") + F.size("s"))
+    met = join_salted(each, common, ["at"], "c", of.agg(F.sum(F.size("diff"))).first()[0] or 0, ["u"]).groupBy("space", "u", "n", "k", "lim").agg(_rarest_first())
+    return _values(met, F.col("space"), F.col("lim") - F.col("k") + F.size("s"), F.col("k") - F.col("n") * (d / (2 - d)))
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
