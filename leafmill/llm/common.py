@@ -7,13 +7,20 @@ from pyspark.sql import functions as F
 
 from ..staging import ROWS, join_salted, materialize, partitions, release, shared_root, sliced, spread
 
-__all__ = ["ROWS", "join_salted", "join_skewed", "lower_ascii", "materialize", "partitions", "release", "shared_root", "sliced", "table"]
+__all__ = ["ROWS", "free", "join_salted", "join_skewed", "lower_ascii", "materialize", "partitions", "release", "shared_root", "sliced", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
+def free(name: str, columns: list[str]) -> str:
+    """``name``, or a longer one, that none of ``columns`` has."""
+    while name.lower() in map(str.lower, columns):
+        name = f"_{name}"
+    return name
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
