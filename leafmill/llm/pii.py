@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, sliced, table
+from .common import free, materialize, sliced, table
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # start, end, index of the kind
@@ -140,13 +141,22 @@ def votes(text: str, span: Span) -> str:
 def candidates(text: str, base: list[Span]) -> list[Span]:
     """Loose matches that overlap no base span and no earlier candidate."""
     found: list[Span] = []
-    digits = _DIGIT.search(text) is not None
+    digits, low = _DIGIT.search(text) is not None, text.lower()
     for kind, pattern, needs in _LOOSE:
-        if (any(x in text.lower() for x in needs) if kind == 0 else digits and all(x in text for x in needs)):
+        if (any(x in low for x in needs) if kind == 0 else digits and all(x in text for x in needs)):
             found += [(m.start(), m.end(), kind) for m in pattern.finditer(text)]
-    taken, out = sorted((a, b) for a, b, _ in base), []
+    # the taken stretches are disjoint and in order, so the only one to look at is found by bisection
+    starts, ends = [], []
+    for a, b, _ in sorted(base):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    out: list[Span] = []
     for a, b, kind in sorted(found, key=lambda x: (x[0], -x[1])):
-        if not any(a < y and x < b for x, y in taken) and (not out or a >= out[-1][1]):
+        k = bisect_left(starts, b) - 1
+        if (k < 0 or ends[k] <= a) and (not out or a >= out[-1][1]):
             out.append((a, b, kind))
     return out
 
@@ -237,20 +247,28 @@ def _all(text: str | None) -> list[dict]:
 _ARROW = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.int32()), ("votes", pa.string()), ("base", pa.bool_())]))
 
 
-def spotted(docs: DataFrame) -> DataFrame:
-    """doc_id and all base and candidate spans with their votes."""
+def spotted(docs: DataFrame, column: str = "spans", keep: list[str] | None = None) -> DataFrame:
+    """``keep`` (doc_id by default) and all base and candidate spans with their votes in ``column``."""
+    keep = ["doc_id"] if keep is None else keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([_all(t.as_py()) for t in b.column("text")], _ARROW)], names=["doc_id", "spans"])
+            spans = pa.array([_all(t.as_py()) for t in b.column("text")], _ARROW)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), spans], names=[*keep, column])
+
+    kept = docs.select(*keep)
+    names = [*keep] if "text" in keep else [*keep, "text"]
+    return docs.select(*names).mapInArrow(sliced(run), _schema(kept, column))
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(sliced(run), f"doc_id {kind}, spans {_SPANS}")
 
+def _schema(kept: DataFrame, column: str) -> str:
+    fields = [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept.schema.fields]
+    return ", ".join([*fields, f"`{column}` {_SPANS}"])
 
-def train(spots: DataFrame) -> np.ndarray:
+
+def train(spots: DataFrame, column: str = "spans") -> np.ndarray:
     """The classifier from the whole corpus's counts; these are at most some thousand rows."""
-    s = spots.select(F.explode("spans").alias("s"))
+    s = spots.select(F.explode(column).alias("s"))
     size = F.least(F.lit(7), F.floor((F.col("s.end") - F.col("s.start")) / 4).cast("int"))
     rows = s.groupBy("s.kind", "s.votes", size.alias("size"), F.col("s.base").cast("int").alias("base")).agg(F.count("*").alias("n")).collect()
     return fit(sorted((r.kind, r.votes, r["size"], r.base, r.n) for r in rows))
@@ -298,17 +316,19 @@ def mask(text: str, spans: list[dict]) -> str:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with its own columns, personal data in ``text`` masked."""
-    w = train(spotted(docs))
-
-    def clean(text: str | None) -> str | None:
-        return mask(text, _decided(s, w)) if text and (s := _all(text)) else text
+    column = free("_spans", docs.columns)
+    # written with their spans, so that the patterns run over the corpus once
+    spots = materialize(spotted(docs, column, docs.columns), "pii")
+    w = train(spots, column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = b.schema.get_field_index("text")
-            yield b.set_column(at, b.schema.field(at), pa.array([clean(t.as_py()) for t in b.column(at)], b.schema.field(at).type))
+            at, spans = b.schema.get_field_index("text"), b.column(b.schema.get_field_index(column))
+            texts = [mask(t, _decided(s, w)) if s else t for t, s in zip(b.column(at).to_pylist(), spans.to_pylist(), strict=True)]
+            b = b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
+            yield b.select([c for c in b.schema.names if c != column])
 
-    return docs.mapInArrow(sliced(run), docs.schema)
+    return spots.mapInArrow(sliced(run), docs.schema)
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
