@@ -29,6 +29,7 @@ RULES = (
     ("block", "com", "/de/"),
 )
 PREFIX_HEX = 8
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: Up to so many rules the rule side is broadcast (about 20 MB); beyond, both sides are shuffled.
 BROADCAST_RULES = 100_000
 
@@ -51,16 +52,18 @@ def _expression(host: Column, path: Column) -> Column:
 
 
 def rules_frame(spark: SparkSession, rules: Iterable[tuple[str, str, str]]) -> DataFrame:
-    """(key, digest, rule, rule_verdict, host_len) of each rule; of equal host and path, ``block`` is kept."""
-    raw = spark.createDataFrame([*rules], "rule_verdict string, h string, p string")
-    raw = raw.select("rule_verdict", lower_ascii(F.col("h")).alias("h"), "p")
-    return raw.groupBy("h", "p").agg(F.max("rule_verdict").alias("rule_verdict")).select(
-        F.substring(F.sha2(_expression(F.col("h"), F.col("p")), 256), 1, PREFIX_HEX).alias("key"),
-        F.sha2(_expression(F.col("h"), F.col("p")), 256).alias("digest"),
-        F.concat("h", "p").alias("rule"),
-        "rule_verdict",
-        F.length("h").alias("host_len"),
-    )
+    """(key, rule_digest, precedence, rule, rule_verdict) of each rule; of equal host and path, ``block`` is kept.
+
+    The precedence is one number: the longer rule, then the longer host, then the smaller text.
+    """
+    said: dict[tuple[str, str], str] = {}
+    for verdict, host, path in rules:
+        k = (host.translate(_LOWER), path)
+        said[k] = max(verdict, said.get(k, ""))
+    order = sorted(sorted(said, key="".join, reverse=True), key=lambda k: (len(k[0]) + len(k[1]), len(k[0])))
+    raw = spark.createDataFrame([(said[k], *k, i) for i, k in enumerate(order)], "rule_verdict string, h string, p string, precedence long")
+    digest = F.sha2(_expression(F.col("h"), F.col("p")), 256)
+    return raw.select(F.substring(digest, 1, PREFIX_HEX).alias("key"), digest.alias("rule_digest"), "precedence", F.concat("h", "p").alias("rule"), "rule_verdict")
 
 
 def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, default: str = "allow") -> DataFrame:
@@ -69,31 +72,24 @@ def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES,
     labels = sorted({h.count(".") + 1 for _, h, _ in rules})
     lengths = sorted({len(p) for _, _, p in rules})
     urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    # a row of an URL is counted, not expanded, so that repeated rows come out again
-    rows = urls.groupBy("page_id", "host", "path").agg(F.count("*").alias("copies"))
     if not rules:
-        best = rows.select("*", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("rule_verdict"))
-    else:
-        suffixes = F.array_distinct(F.array(*[F.substring_index("host", ".", -n) for n in labels]))
-        prefixes = F.array_distinct(F.array(*[F.substring("path", 1, n) for n in lengths]))
-        expanded = rows.withColumn("_s", F.explode(suffixes)).withColumn("_p", F.explode(prefixes))
-        expanded = expanded.withColumn("digest", F.sha2(_expression(F.col("_s"), F.col("_p")), 256)).drop("_s", "_p")
-        expanded = expanded.withColumn("key", F.substring("digest", 1, PREFIX_HEX))
-        side = rules_frame(spark, rules).withColumnRenamed("digest", "rule_digest")
-        if len(rules) <= BROADCAST_RULES:
-            side = F.broadcast(side)
-        hit = F.col("digest") == F.col("rule_digest")
-        rank = F.when(hit, F.struct(F.length("rule").alias("n"), F.col("host_len").alias("h")))
-        # all expressions of a row are made in its own task, so the partial aggregate meets them there
-        best = (
-            expanded.join(side, "key", "left")
-            .groupBy("page_id", "host", "path", "copies")
-            .agg(F.max_by(F.struct("rule", "rule_verdict"), rank).alias("b"))
-            .select("page_id", "host", "path", "copies", "b.rule", "b.rule_verdict")
-        )
-    return best.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(
-        "page_id", "host", "path", "rule", F.coalesce("rule_verdict", F.lit(default)).alias("verdict")
-    )
+        return urls.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    # every row has a number of its own: rows that are equal, however many, meet nowhere
+    rows = urls.withColumn("_row", F.monotonically_increasing_id())
+    suffixes = F.array_distinct(F.array(*[F.substring_index("host", ".", -n) for n in labels]))
+    prefixes = F.array_distinct(F.array(*[F.substring("path", 1, n) for n in lengths]))
+    expanded = rows.withColumn("_s", F.explode(suffixes)).withColumn("_p", F.explode(prefixes))
+    expanded = expanded.withColumn("digest", F.sha2(_expression(F.col("_s"), F.col("_p")), 256)).drop("_s", "_p")
+    expanded = expanded.withColumn("key", F.substring("digest", 1, PREFIX_HEX))
+    side = rules_frame(spark, rules)
+    few = len(rules) <= BROADCAST_RULES
+    near = side.select("key", "rule_digest", "precedence")
+    fits = F.when(F.col("digest") == F.col("rule_digest"), F.col("precedence"))
+    # all expressions of a row are made in its own task, so the partial aggregate meets them there
+    best = expanded.join(F.broadcast(near) if few else near, "key", "left").groupBy("_row", "page_id", "host", "path").agg(F.max(fits).alias("precedence"))
+    names = side.select("precedence", "rule", "rule_verdict")
+    out = best.join(F.broadcast(names) if few else names, "precedence", "left")
+    return out.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", F.lit(default)).alias("verdict"))
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
