@@ -6,8 +6,9 @@ its maximum, and a softmax over these gives the window's language.  A document's
 language is that of the largest mean probability over all its windows, weighted by
 their bytes; its score is that mean.
 
-Training reads a bounded sample: the ``TRAIN_DOCS`` rows of smallest hash among those
-the caller admits, one window from a place that the hash picks and one from the start.
+Training reads a bounded sample: the ``TRAIN_DOCS`` rows of smallest hash (of id and text)
+among those the caller admits, one window from a place that the hash picks and one from
+the start.
 
 For prediction the first layer is tabulated: what a filter makes of a pair of bytes is
 looked up, so a filter of width four is the sum of two rows.
@@ -168,16 +169,21 @@ class Predictor:
 
 def train(docs: DataFrame, admitted: Column, n: int = TRAIN_DOCS) -> Model | None:
     """A model from at most ``n`` rows of ``docs`` (doc_id, text, lang) for which ``admitted`` holds."""
-    own = docs.withColumn("_ok", admitted).filter(F.col("_ok") & F.col("lang").isNotNull())
-    rows = own.select("lang").count()
-    # about three times as many as wanted pass, whatever the corpus, and go to the driver's choice
-    some = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 3 * n / max(1, rows)))
-    d = own.filter(some).select("doc_id", "lang", F.col("text").cast("binary").alias("text"))
-    d = d.filter(F.col("text").isNotNull() & (F.octet_length("text") > 0))
-    place = F.xxhash64("doc_id")
+    own = docs.filter(admitted & F.col("lang").isNotNull()).select("doc_id", F.col("lang").alias("lang"), F.col("text").cast("binary").alias("text"))
+    own = own.filter(F.col("text").isNotNull() & (F.octet_length("text") > 0))
+    place = F.xxhash64("doc_id", "text", F.lit(7))
     cut = lambda at: F.substring("text", at.cast("int") + 1, F.lit(WINDOW))
     room = F.greatest(F.lit(1), F.octet_length("text") - WINDOW)
-    rows = d.select(place.alias("h"), "lang", cut(F.lit(0)).alias("a"), cut(F.pmod(F.shiftright(place, 8), room)).alias("b")).orderBy("h", "lang", "a").limit(n).collect()
+    pick = own.select(place.alias("h"), "lang", cut(F.lit(0)).alias("a"), cut(F.pmod(F.shiftright(place, 8), room)).alias("b"))
+    # about three times as many as wanted pass, whatever the corpus, and go to the driver's choice;
+    # where rows repeat, these may be too few, and more are let through
+    share, rows = min(1.0, 3 * n / max(1, own.count())), []
+    while True:
+        some = F.pmod(F.col("h"), F.lit(1 << 30)) < int((1 << 30) * share)
+        rows = pick.filter(some).orderBy("h", "lang", "a").limit(n).collect()
+        if len(rows) >= n or share == 1:
+            break
+        share = min(1.0, 16 * share)
     if not rows:
         return None
     return fit([bytes(x) for r in rows for x in (r.a, r.b)], [r.lang for r in rows for _ in range(2)])
