@@ -22,7 +22,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_root, table
+from .common import join_salted, shared_root, table
 
 _B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: The capture time of all records: the table has none.
@@ -58,18 +58,21 @@ def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> No
     # equal payloads of a task fold before the shuffle, so a hot one costs a row per task
     store = rec.groupBy("digest").agg(
         F.max("page_id").alias("owner"),
+        F.count("*").alias("records"),
         F.first("payload").alias("payload"),
         F.min(F.struct(F.sha1("payload").alias("s"), F.octet_length("payload").alias("n"))).alias("lo"),
         F.max(F.struct(F.sha1("payload").alias("s"), F.octet_length("payload").alias("n"))).alias("hi"),
     )
     store = store.select(
-        "digest", "owner", F.col("lo.s").alias("sha1"), F.col("lo.n").cast("long").alias("bytes"),
+        "digest", "owner", "records", F.col("lo.s").alias("sha1"), F.col("lo.n").cast("long").alias("bytes"),
         F.when(F.col("lo") == F.col("hi"), F.col("payload")).otherwise(
             F.raise_error(F.lit("two payloads share a SHA-256")).cast("binary")).alias("payload"),
     )
     store.write.option("compression", "zstd").parquet(f"{path}/payloads")
-    owners = pages.sparkSession.read.parquet(f"{path}/payloads").select("digest", "owner", "sha1", "bytes")
-    heads = rec.select("page_id", "url", "digest").join(owners, "digest")
+    owners = pages.sparkSession.read.parquet(f"{path}/payloads").select("digest", "owner", "records", "sha1", "bytes")
+    # the records of a payload that many pages share are dealt to several tasks
+    total = owners.agg(F.sum("records")).first()[0] or 0
+    heads = join_salted(rec.select("page_id", "url", "digest"), owners, ["digest"], "records", total, ["page_id", "url"])
     revisit = (F.col("bytes") >= min_revisit_bytes) & ~F.col("page_id").eqNullSafe(F.col("owner"))
     block = F.concat(F.lit("sha1:"), base32_of_hex(F.col("sha1")))
     ident = F.concat(F.lit("<urn:leafmill:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.lit(">"))
@@ -99,32 +102,38 @@ def _field(name: str, pattern: str = "[^\r\n]*") -> Column:
 def _checked(spark: SparkSession, path: str) -> DataFrame:
     """The payloads, each read whole and compared with the digest it is stored under."""
     return spark.read.parquet(f"{path}/payloads").select(
-        "digest",
+        "digest", "records",
         F.when(F.unhex(F.sha2("payload", 256)) == F.col("digest"), F.col("payload")).otherwise(
             F.raise_error(F.lit("a stored payload doesn't match its digest")).cast("binary")).alias("payload"),
     )
 
 
+def _joined(spark: SparkSession, path: str, facts: DataFrame) -> DataFrame:
+    """The headers with what is known of their payloads; a hot payload goes to several tasks."""
+    heads = spark.read.parquet(f"{path}/headers")
+    return join_salted(heads, facts, ["digest"], "records", heads.count(), ["header"])
+
+
+def _page(name: str) -> Column:
+    return F.regexp_extract("header", f"\r\n{name}: <urn:leafmill:page:(-?[0-9]+)>\r\n", 1).try_cast("long")
+
+
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record, from the stored header and the stored payload's bytes."""
+    """One row per record, from the stored header and the stored payload's bytes; the payload itself isn't moved."""
     facts = _checked(spark, path).select(
-        "digest", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_of_hex(F.sha1("payload")).alias("payload_digest")
+        "digest", "records", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_of_hex(F.sha1("payload")).alias("payload_digest")
+    )
+    return _joined(spark, path, facts).select(
+        _page("WARC-Record-ID").alias("page_id"), "payload_bytes", "payload_digest", _field("WARC-Type").alias("record_type"), _page("WARC-Refers-To").alias("refers_to")
     )
-    heads = spark.read.parquet(f"{path}/headers")
-    number = lambda name: F.nullif(_field(name, "<urn:leafmill:page:[0-9-]+>"), F.lit(""))
-    ident = lambda name: F.regexp_extract(number(name), "(-?[0-9]+)>", 1).cast("long")
-    return heads.join(facts, "digest").select(
-        ident("WARC-Record-ID").alias("page_id"), "payload_bytes", "payload_digest",
-        _field("WARC-Type").alias("record_type"), ident("WARC-Refers-To").alias("refers_to"),
-    )
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, header, payload and the record's exact bytes; a revisit's record has no block of its own."""
-    rec = spark.read.parquet(f"{path}/headers").join(_checked(spark, path), "digest")
+    """page_id, record_type, refers_to, header, payload and the record's exact bytes; a revisit's record has no block of its own."""
+    rec = _joined(spark, path, _checked(spark, path))
     own = F.when(_field("WARC-Type") == "response", F.col("payload")).otherwise(F.lit(b""))
     return rec.select(
-        F.regexp_extract("header", "WARC-Record-ID: <urn:leafmill:page:(-?[0-9]+)>", 1).try_cast("long").alias("page_id"),
+        _page("WARC-Record-ID").alias("page_id"), _field("WARC-Type").alias("record_type"), _page("WARC-Refers-To").alias("refers_to"),
         "header", "payload", F.concat(F.encode("header", "UTF-8"), F.lit(b"\r\n"), own, F.lit(b"\r\n\r\n")).alias("record"),
     )
 
@@ -132,4 +141,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_root(spark)}/leafmill-warc-{uuid.uuid4().hex}"
     write_archive(table(spark, sf_dir, "pages"), path)
-    return read_index(spark, path)
+    # the digest columns are taken from the payloads as they come out of the rebuilt records
+    return read_archive(spark, path).select(
+        "page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_of_hex(F.sha1("payload")).alias("payload_digest"), "record_type", "refers_to"
+    )
