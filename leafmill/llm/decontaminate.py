@@ -9,12 +9,13 @@ A window is ``window`` consecutive words of an item, or the whole of a shorter o
 document's word is hit if it lies in an occurrence of a window.
 
 Items are indexed in shards of at most ``SHARD_WORDS`` words, so that the driver never
-holds the whole benchmark; a document passes through every shard.  Every worker keeps
-all automata, about 0.5 KB a word: benchmarks of some million words fit, for larger ones
-call the operator on parts of the benchmark.
+holds the whole benchmark, and ``SHARDS`` of them at a time go to the workers, which
+keep their automata, about 1 KB a word.  A larger benchmark takes several passes over the
+documents; what the passes find is merged by document before anything is decided.
 
 Defined cases: null or word-less texts have no words and no hits; null, empty or
-repeated items are allowed (a null item_id is left out of ``items``); no items at all
+repeated items are allowed (items without an item_id hit like others, count as one item
+together and are left out of the digest); no items at all
 leave every document clean; rows come out as they went in, ids null or repeated.
 """
 
@@ -23,16 +24,19 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sliced, table
+from .common import free, materialize, release, sliced, table
 
 WINDOW = 13
 #: Words of the items that the driver reads and sends at a time.
 SHARD_WORDS = 200_000
+#: Shards that go to the workers in one pass.
+SHARDS = 2
 #: A document with hits on at least one word in so many is contaminated.
 COVERAGE = 20
 
@@ -221,34 +225,109 @@ def _scanner(shards: list, window: int):
     return scan
 
 
-def _published(spark: SparkSession, benchmark: DataFrame, window: int) -> list:
-    sc, out = spark.sparkContext, []
-    for shard in _shards(benchmark):
-        digest = hashlib.sha256(repr((window, shard)).encode()).hexdigest()
-        out.append((digest, sc.broadcast(shard)))
-    return out
+def _passes(spark: SparkSession, benchmark: DataFrame, window: int) -> Iterator[list]:
+    """The broadcast shards of each pass; at least one pass, and those of one are gone with the next."""
+    shards, any_ = _shards(benchmark), False
+    while group := [*islice(shards, SHARDS)]:
+        sent = [(hashlib.sha256(repr((window, x)).encode()).hexdigest(), spark.sparkContext.broadcast(x)) for x in group]
+        any_ = True
+        yield sent
+    if not any_:
+        yield []
+
+
+def _first_and_rest(passes: Iterator[list]) -> tuple[list, Iterator[list] | None]:
+    first = next(passes)
+    second = next(passes, None)
+    return first, None if second is None else chain([first, second], passes)
+
+
+def _report(words: int, spans: list[tuple[int, int]], items: Iterable[str | None], coverage: int) -> tuple:
+    hit, keys = sum(b - a for a, b in spans), set(items)
+    said = ",".join(sorted(x for x in keys if x is not None))
+    return words, hit, len(keys), hashlib.sha256(said.encode()).hexdigest(), hit > 0 and coverage * hit >= words
+
+
+_REPORT = (("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()))
+_REPORT_SQL = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
+
+
+def _reported(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+    cols = [*zip(*rows, strict=True)] or [()] * len(_REPORT)
+    return pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, (_, k) in zip(cols, _REPORT, strict=True))], names=["doc_id", *(n for n, _ in _REPORT)])
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: int = COVERAGE) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each row of ``docs`` (doc_id, text)."""
-    scan = _scanner(_published(docs.sparkSession, benchmark, window), window)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    first, more = _first_and_rest(_passes(docs.sparkSession, benchmark, window))
+    if more is not None:
+        rows = _numbered(docs.select("doc_id", "text"), "_row")
+        both = rows.join(_found(rows, more, window), "_row", "left")
+
+        def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                out = []
+                for t, spans, items in zip(b.column("text"), b.column("spans").to_pylist(), b.column("items").to_pylist(), strict=True):
+                    own = merged([(s["a"], s["b"]) for s in spans or ()])
+                    out.append(_report(len(words_of(t.as_py())), own, items or (), coverage))
+                yield _reported(b.column("doc_id"), out)
+
+        return both.select("doc_id", F.col("text").cast("binary").alias("text"), "spans", "items").mapInArrow(sliced(told), f"doc_id {kind}, {_REPORT_SQL}")
+    scan = _scanner(first, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
+            out = []
             for t in b.column("text"):
                 words, spans, items = scan(t.as_py())
-                hit = sum(y - x for x, y in spans)
-                said = ",".join(sorted(x for x in items if x is not None))
-                rows.append((len(words), hit, len(items), hashlib.sha256(said.encode()).hexdigest(), hit > 0 and coverage * hit >= len(words)))
-            cols = [*zip(*rows)] or [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+                out.append(_report(len(words), spans, items, coverage))
+            yield _reported(b.column("doc_id"), out)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(
-        sliced(run), f"doc_id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
-    )
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(sliced(run), f"doc_id {kind}, {_REPORT_SQL}")
+
+
+def _numbered(docs: DataFrame, key: str) -> DataFrame:
+    """``docs`` written with a number of each row in ``key``."""
+    return materialize(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
+
+
+_SPAN = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+
+
+def _found(rows: DataFrame, passes: Iterable[list], window: int) -> DataFrame:
+    """_row, spans and items of the rows in which any pass finds windows."""
+    parts: list[DataFrame] = []
+    for shards in passes:
+        scan = _scanner(shards, window)
+
+        def run(batches: Iterator[pa.RecordBatch], scan=scan) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                got = [(i, *scan(t.as_py())[1:]) for i, t in zip(b.column("_row").to_pylist(), b.column("text"), strict=True)]
+                got = [x for x in got if x[1]]
+                spans = pa.array([[{"a": p, "b": q} for p, q in x[1]] for x in got], _SPAN)
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int64()), spans, pa.array([[*x[2]] for x in got], pa.list_(pa.string()))], names=["_row", "spans", "items"])
+
+        texts = rows.select("_row", F.col("text").cast("binary").alias("text"))
+        parts.append(materialize(texts.mapInArrow(sliced(run), "_row bigint, spans array<struct<a:int,b:int>>, items array<string>"), "found"))
+        for _, sent in shards:
+            sent.destroy()
+    every = parts[0]
+    for x in parts[1:]:
+        every = every.unionByName(x)
+    out = materialize(every.groupBy("_row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items")), "found")
+    release(*parts)
+    return out
+
+
+def _without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """The text with the words of the intervals cut out, a line break in their place."""
+    at = [m.span() for m in _WORD.finditer(text)]
+    out, end = [], 0
+    for a, b in spans:
+        out.append(text[end : at[a][0]])
+        end = at[b - 1][1]
+    return b"\n".join([*out, text[end:]])
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: int = COVERAGE) -> DataFrame:
@@ -256,39 +335,63 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
 
     A cut leaves a line break; cutting is repeated until no window occurs any more.
     """
-    scan = _scanner(_published(docs.sparkSession, benchmark, window), window)
+    first, more = _first_and_rest(_passes(docs.sparkSession, benchmark, window))
+    if more is not None:
+        return _removed_in_passes(docs, benchmark, more, window, coverage)
+    scan = _scanner(first, window)
 
     def cut(text: bytes) -> bytes | None:
         words, spans, _ = scan(text)
-        if not spans:
-            return text
-        if coverage * sum(b - a for a, b in spans) >= len(words):
+        if spans and coverage * sum(b - a for a, b in spans) >= len(words):
             return None
         while spans:
-            at = [m.span() for m in _WORD.finditer(text)]
-            out, end = [], 0
-            for a, b in spans:
-                out.append(text[end : at[a][0]])
-                end = at[b - 1][1]
-            text = b"\n".join([*out, text[end:]])
+            text = _without(text, spans)
             _, spans, _ = scan(text)
         return text
 
+    return docs.mapInArrow(sliced(_edited(lambda raw, _: cut(raw))), docs.schema)
+
+
+def _edited(edit, given: str | None = None):
+    """Batches with ``edit`` made to every text and ``given``'s value, a column that then goes; rows whose text becomes None go."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = b.schema.get_field_index("text")
-            old = b.column(at)
+            values = b.column(b.schema.get_field_index(given)).to_pylist() if given else [None] * b.num_rows
             keep, texts = [], []
-            for i, t in enumerate(old):
+            for i, (t, v) in enumerate(zip(b.column(at), values, strict=True)):
                 raw = t.as_py()
-                new = raw if raw is None else cut(raw.encode())
+                new = raw if raw is None else edit(raw.encode(), v)
                 if raw is None or new is not None:
                     keep.append(i)
                     texts.append(raw if raw is None else new.decode())
             out = b.take(pa.array(keep, pa.int64()))
-            yield out.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
-
-    return docs.mapInArrow(sliced(run), docs.schema)
+            out = out.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
+            yield out.select([c for c in b.schema.names if c != given])
+
+    return run
+
+
+def _removed_in_passes(docs: DataFrame, benchmark: DataFrame, passes: Iterable[list], window: int, coverage: int) -> DataFrame:
+    key, cuts = free("_row", docs.columns), free("_cuts", docs.columns)
+    rows, done, limit = _numbered(docs, key), None, coverage
+    while True:
+        found = _found(rows.select(F.col(key).alias("_row"), "text"), passes, window).select(F.col("_row").alias(key), F.col("spans").alias(cuts))
+        clean = rows.join(found, key, "left_anti")
+        done = clean if done is None else done.unionByName(clean)
+        if found.isEmpty():
+            return done.select(*docs.columns)
+        own = limit
+
+        def edit(text: bytes, said: list[dict], own=own) -> bytes | None:
+            spans = merged([(s["a"], s["b"]) for s in said])
+            over = own and own * sum(b - a for a, b in spans) >= len(words_of(text))
+            return None if over else _without(text, spans)
+
+        some = rows.join(found, key).select(*rows.columns, cuts)
+        rows = materialize(some.mapInArrow(sliced(_edited(edit, cuts)), rows.schema), "numbered")
+        passes, limit = _passes(docs.sparkSession, benchmark, window), 0  # coverage is judged on the whole text
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
