@@ -15,6 +15,11 @@ Queries go through every shard in blocks: a beam search proposes neighbours, the
 scores are computed in double precision from the original vectors, nodes give their ids,
 and the shards' best are merged.
 
+How wide a shard's beam must be is measured when it is indexed: ``SAMPLE`` of its own
+vectors are searched with wider and wider beams until the share of their true ``NEAREST``
+found is ``RECALL``.  A shard for which no beam narrower than an eighth of it is enough
+(much noise in many dimensions) is scored whole instead, as all are with ``exact``.
+
 Defined cases: vectors that are null, zero, or hold a null or a non-finite component
 take no part, as candidates or queries, nor do rows without an id or of another
 dimension than ``dimension`` (the commonest one by default); of rows with equal ids and
@@ -39,6 +44,10 @@ DEGREE = 32
 BUILD_BEAM = 64
 SEARCH_BEAM = 128
 ALPHA = 1.2
+#: The beam is measured on so many of a shard's vectors, for this share of so many nearest ones.
+SAMPLE = 48
+NEAREST = 20
+RECALL = 0.97
 #: Queries in a block, and vectors that are inserted together at most.
 BLOCK = 2048
 BATCH = 512
@@ -171,8 +180,25 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+def beam_for(g: Graph, least: int = SEARCH_BEAM, seed: int = 11) -> int:
+    """The narrowest beam, doubled from ``least`` on, that finds ``RECALL`` of the sample's nearest vectors; 0 if the shard should be scored whole."""
+    n = len(g.x)
+    rows = np.random.default_rng(seed).choice(n, min(SAMPLE, n), replace=False)
+    q = g.x[rows].copy()
+    q[:, -1] = 0  # as queries, they ask for the largest inner product
+    true = np.argpartition(-(q @ g.x.T), min(NEAREST, n) - 1, 1)[:, :NEAREST]
+    beam = least
+    while beam * 8 <= max(n, 8 * least):
+        ids, d = g.search(q, beam)
+        top = np.take_along_axis(ids, np.argsort(d, 1)[:, :NEAREST], 1)
+        if np.mean([np.isin(t, a).mean() for t, a in zip(true, top, strict=True)]) >= RECALL:
+            return beam
+        beam *= 2
+    return 0
+
+
 def index(v: DataFrame, shards: int) -> DataFrame:
-    """shard, n, and the vectors and edges of each shard's ``n`` nodes and, by node, their counts of ids and the ids, as bytes."""
+    """shard, n, beam, and the vectors and edges of each shard's ``n`` nodes and, by node, their counts of ids and the ids, as bytes."""
 
     def build(t: pa.Table) -> pa.Table:
         shard, ids, x = t.column("shard")[0].as_py(), t.column("vec_id").to_numpy(), _matrix(t.column("v"))
@@ -186,19 +212,22 @@ def index(v: DataFrame, shards: int) -> DataFrame:
         each = new | np.concatenate([[True], ids[1:] != ids[:-1]])
         ids, x, counts = ids[each], x[new], np.bincount(np.cumsum(new)[each] - 1)
         g = Graph(lifted(x))
-        return pa.table({"shard": [shard], "n": [len(x)], "counts": [counts.astype("<i4").tobytes()], "ids": [ids.astype("<i8").tobytes()], "x": [x.astype("<f8").tobytes()], "edges": [g.edges.astype("<i4").tobytes()]})
+        return pa.table({"shard": [shard], "n": [len(x)], "beam": [beam_for(g)], "counts": [counts.astype("<i4").tobytes()], "ids": [ids.astype("<i8").tobytes()], "x": [x.astype("<f8").tobytes()], "edges": [g.edges.astype("<i4").tobytes()]})
 
     dealt = v.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInArrow(build, "shard long, n long, counts binary, ids binary, x binary, edges binary")
+    return dealt.groupBy("shard").applyInArrow(build, "shard long, n long, beam long, counts binary, ids binary, x binary, edges binary")
+
 
+def search(vectors: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", beam: int = SEARCH_BEAM, exact: bool = False, shard_rows: int = SHARD_ROWS, block: int = BLOCK) -> DataFrame:
+    """query_id, rank, vec_id, score: the ``k`` nearest of ``vectors`` to each of ``queries`` (vec_id and vector).
 
-def search(vectors: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", beam: int = SEARCH_BEAM) -> DataFrame:
-    """query_id, rank, vec_id, score: the ``k`` nearest of ``vectors`` to each of ``queries`` (vec_id and vector)."""
+    ``beam``: at least so wide; ``exact``: every vector is scored.
+    """
     v = materialize(usable(vectors, vector), "vectors")
     n = v.count()
     width = len(v.first().v) if n else 0
     q = usable(queries, vector, width).dropDuplicates(["vec_id"])
-    shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-q.count() // BLOCK))
+    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-q.count() // block))
     graphs = materialize(index(v, shards), "graphs")
     left = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     q = q.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
@@ -215,17 +244,26 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, vector: str = "embedd
         x = np.frombuffer(g.column("x")[0].as_py(), "<f8").reshape(size, -1)
         graph = Graph(lifted(x), edges=np.frombuffer(g.column("edges")[0].as_py(), "<i4").reshape(size, -1))
         own, qv = t.column("vec_id").to_numpy(), _matrix(t.column("v"))
+        wide = g.column("beam")[0].as_py()
         out: list[tuple] = []
         for at in range(0, len(own), BATCH):
             a, b = own[at : at + BATCH], qv[at : at + BATCH]
             unit = b / np.abs(b).max(1, keepdims=True)
-            got, d = graph.search(np.concatenate([unit, np.zeros((len(b), 1))], 1).astype(np.float32), max(beam, 2 * k))
-            score = np.einsum("qcd,qd->qc", x[got], b)
-            row, col = np.nonzero(np.isfinite(d))
-            node = got[row, col]
+            if exact or not wide or max(beam, 2 * k) >= size:
+                near = b @ x.T
+                got = np.argpartition(-near, 2 * k - 1, 1)[:, : 2 * k] if 2 * k < size else np.broadcast_to(np.arange(size), near.shape)
+                # what ties with the last one may come before it by its ids
+                edge = np.take_along_axis(near, got, 1).min(1, keepdims=True)
+                row, node = np.nonzero(near >= edge - 1e-9 * np.abs(edge))
+                score = np.einsum("nd,nd->n", x[node], b[row])
+            else:
+                got, d = graph.search(np.concatenate([unit, np.zeros((len(b), 1))], 1).astype(np.float32), max(beam, wide, 2 * k))
+                row, col = np.nonzero(np.isfinite(d))
+                node = got[row, col]
+                score = np.einsum("nd,nd->n", x[node], b[row])
             # of equal scores the smallest ids come first, and one may be the query's own
             some = np.minimum(counts[node], k + 1)
-            row, by_id, value = np.repeat(row, some), ids[np.repeat(first[node] - np.cumsum(some) + some, some) + np.arange(some.sum())], np.repeat(score[row, col], some)
+            row, by_id, value = np.repeat(row, some), ids[np.repeat(first[node] - np.cumsum(some) + some, some) + np.arange(some.sum())], np.repeat(score, some)
             other = by_id != a[row]
             row, by_id, value = row[other], by_id[other], value[other]
             order = np.lexsort((by_id, -value, row))
