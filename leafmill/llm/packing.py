@@ -5,12 +5,15 @@ is solved on the histogram of lengths (at most that many rows, whatever the corp
 
 1. open bins for the longest length left: every permitted capacity is filled, best fit
    first, from what is left, and the capacity of least cost a packed token wins; as
-   many equal bins are opened as the histogram allows, so each step uses up a length;
+   many equal bins are opened as the histogram allows, so each step uses up a length.
+   Short sequences pay the overhead more often, long ones cost more a token, so the
+   capacities compete;
 2. every bin is downsized to the smallest capacity that holds its contents.
 
 The pieces then take their places by their rank among pieces of equal length.  Ranks
-come from counts by (length, hash bucket), with more buckets for more rows, so that a
-length that a third of all rows share isn't ranked in one task.
+come from counts by (length, bucket), with more buckets for more rows and a row's bucket
+from its place, so that neither a length nor an id that a third of all rows share is
+ranked in one task.
 
 Documents over the largest capacity are split into full parts and a rest; no token is
 dropped.
@@ -31,10 +34,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, table
+from .token_counts import VOCABULARY, token_lengths
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 #: What a sequence costs besides its capacity, in tokens: short sequences pay it more often.
 OVERHEAD = 16
+#: A sequence costs its capacity and, for what grows with its square, capacity * capacity over this.
+QUADRATIC = 65_536
 #: Pieces in a ranking bucket, on average, before more buckets are used.
 BUCKET_ROWS = 20_000
 MIN_BUCKETS = 64
@@ -45,7 +51,7 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^ \t\n\x0B\f\r]+")), F.lit(0)).cast("long")
 
 
-def plan_bins(histogram: dict[int, int], capacities: Sequence[int] = CAPACITIES, overhead: int = OVERHEAD) -> list[tuple[int, int, list[tuple[int, int]]]]:
+def plan_bins(histogram: dict[int, int], capacities: Sequence[int] = CAPACITIES, overhead: int = OVERHEAD, quadratic: float = QUADRATIC) -> list[tuple[int, int, list[tuple[int, int]]]]:
     """Groups of equal bins: (bins, capacity, [(length, pieces in each bin), ...])."""
     sizes = sorted(capacities)
     left = {n: c for n, c in histogram.items() if c > 0}
@@ -64,7 +70,7 @@ def plan_bins(histogram: dict[int, int], capacities: Sequence[int] = CAPACITIES,
 
     while lengths:
         first = lengths[-1]
-        best = min((((c + overhead) / used, -c, c, used, taken) for c in sizes if c >= first for used, taken in [fill(first, c)]), key=lambda x: x[:2])
+        best = min((((c + overhead + c * c / quadratic) / used, -c, c, used, taken) for c in sizes if c >= first for used, taken in [fill(first, c)]), key=lambda x: x[:2])
         _, _, _, used, taken = best
         bins = min(left[n] // k for n, k in taken.items())
         out.append((bins, next(c for c in sizes if c >= used), sorted(taken.items(), reverse=True)))
@@ -99,25 +105,28 @@ def pieces_of(docs: DataFrame, largest: int, length: Column) -> DataFrame:
     return d.select("doc_id", "part", start.alias("start"), F.least(F.lit(largest).cast("long"), F.col("_n") - start).alias("length"))
 
 
-def pack(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, overhead: int = OVERHEAD, length: Column | None = None) -> DataFrame:
+def pack(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, overhead: int = OVERHEAD, length: Column | None = None, vocabulary: str | None = None, quadratic: float = QUADRATIC) -> DataFrame:
     """doc_id, part, start, length, bin_id, pos, capacity of every piece of every row of ``docs``.
 
-    ``length``: an expression over ``docs`` for a document's tokens; its words by default.
+    Lengths are tokens of ``vocabulary``, or ``length``, an expression over ``docs``, or else words.
     """
     spark, largest = docs.sparkSession, max(capacities)
-    pieces = materialize(pieces_of(docs, largest, n_words(F.col("text")) if length is None else length), "pieces")
+    if vocabulary is not None:
+        docs, length = token_lengths(docs, vocabulary), F.col("n_tokens")
+    pieces = pieces_of(docs, largest, n_words(F.col("text")) if length is None else length)
+    pieces = materialize(pieces.withColumn("_h", F.xxhash64(F.monotonically_increasing_id())), "pieces")
     histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).filter("length > 0").collect()}
-    groups = plan_bins(histogram, capacities, overhead)
+    groups = plan_bins(histogram, capacities, overhead, quadratic)
     plan = spark.sparkContext.broadcast({n: np.array(x, np.int64).reshape(-1, 5).T for n, x in _segments(groups, 0).items()})
 
     buckets = max(MIN_BUCKETS, sum(histogram.values()) // BUCKET_ROWS)
-    some = pieces.filter("length > 0").withColumn("_b", F.pmod(F.xxhash64("doc_id", "part"), F.lit(buckets)))
+    some = pieces.filter("length > 0").withColumn("_b", F.pmod("_h", F.lit(buckets)))
     before = (
         some.groupBy("length", "_b").agg(F.count("*").alias("_n"))
         .withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)))
         .select(F.col("length").alias("_l"), F.col("_b").alias("_c"), F.coalesce("_before", F.lit(0)).alias("_before"))
     )
-    ranked = some.withColumn("_r", F.row_number().over(Window.partitionBy("length", "_b").orderBy("doc_id", "part")) - 1)
+    ranked = some.withColumn("_r", F.row_number().over(Window.partitionBy("length", "_b").orderBy("doc_id", "part", "_h")) - 1)
     ranked = ranked.join(before, (F.col("length") == F.col("_l")) & (F.col("_b") == F.col("_c"))).select(
         "doc_id", "part", "start", "length", (F.col("_before") + F.col("_r")).alias("_rank")
     )
@@ -143,4 +152,4 @@ def pack(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, overhead: int
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(table(spark, sf_dir, "documents"), vocabulary=VOCABULARY)
