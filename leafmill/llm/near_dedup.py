@@ -261,7 +261,7 @@ def _connected(docs: DataFrame, classes: DataFrame, repeated: bool, percent: int
         other = few.select("key", F.col("u").alias("w"), F.col("root").alias("w_root"))
         pairs = few.join(other, "key").filter("u < w and root <> w_root").select(F.col("u").alias("a"), F.col("w").alias("b"), F.lit(False).alias("star"))
         star = many.filter("u <> centre").select(F.col("u").alias("a"), F.col("centre").alias("b"), F.lit(True).alias("star"))
-        judged = materialize(_judged(pairs.unionByName(star).distinct(), small, sets, percent), "judged")
+        judged = _judged(pairs.unionByName(star).distinct(), small, sets, percent)
         links = judged.filter("linked").select("a", "b")
         if labels is None:
             labels = components(links)
@@ -280,8 +280,8 @@ def _connected(docs: DataFrame, classes: DataFrame, repeated: bool, percent: int
         left = _refined(many, done, ranked)
         if apart is not None:
             left, ranked = left.unionByName(_listed(apart)), ranked.unionByName(apart)
-        left = _met(left, labels)
-        release(judged, lists)
+        split, left = left, _met(left, labels)
+        release(judged, lists, split)
         lists = left
         turn += 1
     release(sets, small)
@@ -311,10 +311,13 @@ def _judged(pairs: DataFrame, small: DataFrame, sets: DataFrame, percent: int) -
     full = full.withColumn("_u", F.size("set_a") + F.size("set_b") - F.col("_i"))
     linked = F.col("_i") * 100 >= F.col("_u") * percent
     mine = lambda c: F.when(F.col("star"), c)
-    return full.select(
+    out = full.select(
         "a", "b", "star", linked.alias("linked"), (F.col("_i") * 100 >= F.col("_u") * (100 * CLOSE + 100 - percent)).alias("close"), F.size("set_a").cast("long").alias("n"),
         mine(F.array_except("set_a", "set_b")).alias("more"), mine(F.array_except("set_b", "set_a")).alias("less"),
     )
+    out = materialize(out, "judged")
+    release(pairs, near)
+    return out
 
 
 def _differences(stars: DataFrame, labels: DataFrame, percent: int, turn: int) -> DataFrame:
