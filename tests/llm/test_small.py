@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -153,3 +154,50 @@ def test_join_skewed(spark):
     assert sorted(map(tuple, semi.collect())) == sorted(map(tuple, rows.join(side, "k", "left_semi").collect()))
     none = rows.limit(0)
     assert join_skewed(none, side.limit(0), ["k"], "count", 0).count() == 0
+
+
+# --- long and odd texts
+def test_many_spans_in_a_long_text():
+    began = time.time()
+    text = "mail a@b.org or +1 (578) 555-6437 4918187128635271 from 10.0.0.1\n" * 30_000
+    got = pii._all(text)
+    assert len(got) == 4 * 30_000 and time.time() - began < 30  # hours, if every candidate met every span
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="01 .-+@ab(at)\n", max_size=80))
+def test_candidates_touch_no_base_span(text):
+    base = pii.base_spans(text)
+    found = pii.candidates(text, base)
+    assert not any(a < y and x < b for a, b, _ in found for x, y, _ in base)
+    assert all(x[1] <= y[0] for x, y in zip(found, found[1:]))
+
+
+def test_leaves_of_unspaced_text():
+    count = token_counts.encoder(token_counts.VOCABULARY)
+    text = "".join(random.Random(8).choices(["\u6f22\u5b57", "\u4eee\u540d", "\u3002", "\u3001", "1", "ab", "'s"], weights=[9, 9, 2, 2, 1, 1, 1], k=4000))
+    tree = token_counts.CountTree(text, count, 64)
+    assert len(tree.leaves) > 50 and tree.n_tokens == count(text) == sum(map(count, tree.leaves))
+    again = token_counts.CountTree(text, lambda t: 1 / 0, kept=tree.kept())
+    assert again.n_tokens == tree.n_tokens and again.leaves == tree.leaves
+    tree.replace(3000, 3002, "x")
+    assert tree.encoded < 500 and tree.n_tokens == count(text[:3000] + "x" + text[3002:])
+
+
+def test_capacities_compete():
+    groups = packing.plan_bins({300: 40, 200: 40, 5000: 3, 90: 100})
+    assert {c for _, c, _ in groups} >= {512, 8192} and sum(b * sum(n * k for n, k in t) for b, _, t in groups) == 300 * 40 + 200 * 40 + 15000 + 9000
+    assert {c for _, c, _ in packing.plan_bins({300: 40, 200: 40}, quadratic=1e18)} - {512, 1024} != set()  # without the square, the largest sequences win
+
+
+def test_beam_follows_the_shard():
+    rng = np.random.default_rng(2)
+    easy = rng.normal(size=(40, 16))[rng.integers(0, 40, 3000)] + 0.05 * rng.normal(size=(3000, 16))
+    hard = rng.normal(size=(3000, 64))
+    for x in (easy, hard):
+        g = ann.Graph(ann.lifted(x))
+        beam = ann.beam_for(g)
+        q = np.concatenate([x[::25], np.zeros((120, 1))], 1).astype(np.float32)
+        ids, d = g.search(q, beam or len(x))
+        true = np.argsort(-(x[::25] @ x.T), 1)[:, :20]
+        assert np.mean([np.isin(t, a).mean() for t, a in zip(true, ids)]) >= 0.9

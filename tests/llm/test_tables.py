@@ -269,3 +269,173 @@ def test_pipeline(spark, docs, tmp_path):
     assert 15 not in ids and 20 not in ids and 1 in ids and 2 not in ids and 27 in ids
     assert "a@b.org" not in " ".join(r.text for r in now.collect())
     assert {r.doc_id for r in corpus_pipeline.run(spark, d).collect()} == set(ids)
+
+
+def test_pii_query_against_force(spark, docs, tmp_path):
+    from .test_small import base_by_regex
+
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    own = {}
+    for i, t in texts():
+        own.setdefault(i, t or "")
+    for r in pii.op1_pii(spark, str(tmp_path)).collect():
+        base = base_by_regex(own[r.doc_id])
+        said = [f"{pii.KINDS[k]}:{a}:{b}" for a, b, k in base]
+        assert r.base_sha256 == hashlib.sha256(",".join(said).encode()).hexdigest() and set(said) <= set(filter(None, r.spans.split(",")))
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == j for *_, k in base) for j in range(4)]
+
+
+def test_redact_keeps_clashing_columns(spark):
+    d = spark.createDataFrame([(1, "mail a@b.org", "x", 1), (None, None, None, None)], "doc_id long, text string, _spans string, votes int")
+    got = pii.redact(d)
+    assert got.columns == d.columns and {r.text for r in got.collect()} == {"mail [EMAIL]", None}
+    assert pii.redact(d.limit(0)).count() == 0
+
+
+def test_kept_trees(spark):
+    r = random.Random(12)
+    text = {i: " ".join(r.choices(WORDS, k=3000)) for i in range(6)} | {6: "", 7: "one leaf"}
+    docs = spark.createDataFrame([*text.items(), (None, "a b"), (3, text[3]), (9, None)], "doc_id long, text string")
+    trees = token_counts.build_trees(docs)
+    edits = {0: [(10, 14, "new words"), (5000, 5000, " x")], 3: [(0, 3, "")], 6: [(0, 0, "more")], 7: [(0, 8, "")]}
+    e = spark.createDataFrame([(i, a, b, n) for i, x in edits.items() for a, b, n in x] + [(77, 0, 0, "z"), (None, 0, 1, "z")], "doc_id long, start int, end int, new string")
+    got = token_counts.apply_edits(trees, e).collect()
+    count = token_counts.encoder(token_counts.VOCABULARY)
+    assert len(got) == docs.count()
+    for x in got:
+        new = text.get(x.doc_id, "a b" if x.doc_id is None else None)
+        for a, b, n in sorted(edits.get(x.doc_id, []), reverse=True):
+            new = new[:a] + n + new[b:]
+        assert (x.text, x.n_tokens, sum(x.chars)) == (new, count(new or ""), len(new or "")) and sum(x.tokens) == x.n_tokens
+        assert x.chars_encoded <= 0.05 * len(new or "") + 600 and (x.chars_encoded == 0 or x.doc_id in edits)
+    # edits of the edited trees give what a recount gives
+    twice = token_counts.apply_edits(token_counts.apply_edits(trees, e), token_counts.cleaning_edits)
+    again = token_counts.apply_edits(token_counts.build_trees(token_counts.apply_edits(trees, e)), token_counts.cleaning_edits)
+    key = lambda x: (str(x.doc_id), x.text, x.n_tokens)
+    assert sorted(map(key, twice.collect())) == sorted(map(key, again.collect()))
+    assert token_counts.apply_edits(trees.limit(0), e).count() == 0
+    lengths = {(x.doc_id, x.n_tokens) for x in token_counts.token_lengths(docs).collect()}
+    assert lengths == {(i, count(t)) for i, t in text.items()} | {(None, count("a b")), (9, 0)}
+
+
+def test_url_rows_stay_apart(spark):
+    from pyspark.sql import functions as F
+
+    p = spark.range(200_000).select(F.lit(None).cast("long").alias("page_id"), F.lit("http://a.org/x").alias("url"), F.lit(1).alias("_row"))
+    got = url_filter.filter_urls(p)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(sizes) == 200_000 and max(sizes) <= 100_000
+    assert url_filter.filter_urls(p.limit(0)).count() == 0
+    two = url_filter.filter_urls(spark.createDataFrame([(1, "x://a.b.org/p/q")], "page_id long, url string"), [("allow", "org", "/p/q"), ("block", "b.org", "/p"), ("block", "ORG", "/p/q")])
+    assert [(r.rule, r.verdict) for r in two.collect()] == [("b.org/p", "block")]  # as long as org/p/q, but of the longer host
+
+
+def test_language_of_repeated_rows(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("the and of thing").alias("text"), F.lit("en").alias("lang"))
+    assert lang_id.train(rows, F.lit(True), n=20) is not None
+
+
+def test_language_held_out(spark):
+    from pathlib import Path
+
+    sf = "/root/testdata/sf0.01"
+    if not Path(sf).exists():
+        pytest.skip("needs the driver's tables")
+    got = lang_id.op4_language_id(spark, sf).filter("held_out").join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("lang is not null and lang_pred <> 'und'")
+    assert got.filter("lang = lang_pred").count() >= 0.95 * got.count() > 0
+
+
+def test_warc_with_hot_payload(spark, tmp_path):
+    big = "<p>" + "x" * 300_000
+    rows = [(i, f"u{i}", None if i % 3 else f"<p>{i}") for i in range(300)] + [(300, "l", big), (301, "l", big), (301, "l", big)]
+    p = spark.createDataFrame(rows, "page_id long, url string, html string")
+    p.write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r for r in warc.op5_warc(spark, str(tmp_path)).collect()}
+    assert got[1].refers_to == 299 and got[299].record_type == "response" and got[300].refers_to == 301 and got[300].payload_bytes == len(big)
+    assert warc.op5_warc(spark, str(tmp_path)).count() == len(rows)
+    p.limit(0).write.parquet(f"{tmp_path}/none/pages.parquet")
+    assert warc.op5_warc(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_benchmark_in_passes(spark, docs, monkeypatch):
+    own = dict(texts())
+    bench = spark.createDataFrame([(1, own[15]), (2, own[3]), (3, "one TWO"), (4, own[16]), (5, "w1 w2 w3"), (None, own[1])], "item_id long, text string")
+    key = lambda r: tuple(map(str, r))
+    one, kept = sorted(map(key, decontaminate.hits(docs, bench).collect())), sorted(map(key, decontaminate.remove_spans(docs, bench).collect()))
+    monkeypatch.setattr(decontaminate, "SHARD_WORDS", 100)
+    monkeypatch.setattr(decontaminate, "SHARDS", 1)
+    assert sorted(map(key, decontaminate.hits(docs, bench).collect())) == one
+    cut = decontaminate.remove_spans(docs, bench)
+    assert cut.columns == docs.columns and sorted(map(key, cut.collect())) == kept
+
+
+def test_nearest_in_shards_and_blocks(spark):
+    r = random.Random(5)
+    rows = [(i, [r.gauss(0, 1) for _ in range(64)]) for i in range(1200)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = v.filter("vec_id % 20 = 0")
+    truth = {}
+    for i, x, in rows[::20]:
+        dot = {j: sum(a * b for a, b in zip(x, y)) for j, y in rows if j != i}
+        truth[i] = sorted(dot, key=lambda j: (-dot[j], j))[:20]
+    for exact, least in ((False, 0.9), (True, 1.0)):
+        got = ann.search(v, q, 20, exact=exact, shard_rows=400, block=30).collect()
+        assert len(got) == 60 * 20
+        assert sum(g.vec_id in truth[g.query_id] for g in got) >= least * len(got)
+
+
+def test_packing_of_hot_ids(spark):
+    from pyspark.sql import functions as F
+
+    d = spark.range(5000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one two three").alias("text"), F.lit(1).alias("_h"), F.lit(1).alias("length"))
+    got = packing.pack(d, (8, 16), vocabulary=token_counts.VOCABULARY).groupBy("bin_id", "pos").count()
+    assert got.filter("count > 1").count() == 0 and got.count() == 5000
+
+
+def test_near_families(spark):
+    """Families of copies far from each other's centre, as many links as pairs in each; links stay in proportion to rows."""
+    r = random.Random(9)
+    base = r.choices(WORDS, k=64)
+    other = [*base[:30], "zz", *base[31:]]
+    rows = [(i, " ".join([*base, f"q{i}"])) for i in range(150)] + [(150 + i, " ".join([*other, f"p{i}"])) for i in range(150)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    seen, real = [], near_dedup.components
+    near_dedup.components = lambda e: (seen.append(e.count()), real(e))[1]
+    try:
+        got = near_dedup.groups(d).collect()
+    finally:
+        near_dedup.components = real
+    assert {(r.doc_id < 150, r.component_id) for r in got} == {(True, 0), (False, 150)} and sum(seen) < 4 * len(rows)
+
+
+def test_near_dedup_in_turns(spark):
+    """Copies with few edits from few words: long lists in which most don't link, and shared passages."""
+    r, words = random.Random(1), [f"v{i}" for i in range(3000)]
+    base, third = r.choices(words, k=90), r.choices(words, k=70)
+    passages = [r.choices(words, k=45) for _ in range(5)]
+
+    def edited(b, k):
+        b = list(b)
+        for _ in range(k):
+            b[r.randrange(len(b))] = r.choice(words[:12])
+        return b
+
+    own = [edited(base, r.choice([1, 2, 2, 3, 4])) for _ in range(110)]
+    own += [sum(r.sample(passages, 2), []) + r.choices(words, k=r.choice([0, 2, 9, 40])) for _ in range(110)]
+    own += [[*edited(third, 1), f"own{i}"] for i in range(80)]
+    sets, parent, where = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in own], [*range(len(own))], {}
+
+    def root(i):
+        return i if parent[i] == i else root(parent[i])
+
+    for i, s in enumerate(sets):
+        for j in range(i):
+            if 100 * len(s & sets[j]) >= 85 * len(s | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(own)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_dedup.groups(d).collect()} == {i: root(i) for i in range(len(own))}
