@@ -60,7 +60,7 @@ SKETCH = 48
 #: The probability at most that a pair at the linking similarity shares too few values to be listed.
 MISS = 1e-7
 #: Lists of up to so many members give all their pairs; of longer ones no more than a star comes at a time.
-SHORT = 8
+SHORT = 32
 #: A star's pair is looked into if the estimate is at least this; below, the member stays in its list.
 FAR = 0.06
 #: A member this much more similar to the centre than what links with it must be leaves the list: that is looked into as well.
