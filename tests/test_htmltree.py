@@ -1,8 +1,9 @@
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-import time
 
 from leafmill.sources.htmltree import parse
 from leafmill.sources.pages import hrefs_of, nodes_of
