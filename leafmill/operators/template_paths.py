@@ -35,7 +35,8 @@ def normalized(pages: DataFrame) -> DataFrame:
     """
     page = ["page_id", "url", "domain"]
     if "nodes" in pages.columns:
-        pages = pages.select(*page, F.monotonically_increasing_id().alias("_row"), F.inline("nodes"))
+        numbered = pages.withColumn("_row", F.monotonically_increasing_id())  # rows, before they become nodes
+        pages = numbered.select(*page, "_row", F.inline("nodes"))
     keys = [*page, "_row"] if "_row" in pages.columns else page
     fields = [c for c in pages.columns if c not in keys and c != "sig"]
     # (domain, page) pairs are grouped null-safe, and nothing is joined back

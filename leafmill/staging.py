@@ -85,19 +85,23 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(4 * cores) if size < share * cores and 0 < len(df.inputFiles()) < cores else df
 
 
-def join_salted(rows: DataFrame, side: DataFrame, on: list[str], count: str, n: int, by: list[str], how: str = "inner") -> DataFrame:
+def join_salted(rows: DataFrame, side: DataFrame, on: list[str], count: str | None, n: int, by: list[str], how: str = "inner") -> DataFrame:
     """``rows`` joined with ``side``, which holds each key once and in ``count`` about how many of the ``n`` rows have it.
 
     The rows of a hot key are dealt to several tasks by a hash of their columns ``by``, and
     the key's row of ``side`` goes to each of these.  Only the hot keys, at most eight a
-    partition, are broadcast, each with its number of tasks.  ``count`` doesn't come out.
+    partition, are broadcast, each with its number of tasks.  ``count`` doesn't come out;
+    without one the rows are counted here.
     """
     least = n // (8 * partitions(rows.sparkSession)) + 1
-    tasks = F.ceil(F.col(count) / least).cast("int")
-    hot = side.filter(F.col(count) > least).select(*on, tasks.alias("_tasks"))
-    dealt = rows.join(F.broadcast(hot), on, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*by), F.col("_tasks")).cast("int"), F.lit(0)))
-    each = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(tasks, F.lit(1)) - 1)))
-    return dealt.drop("_tasks").join(each.drop(count), [*on, "_salt"], how).drop("_salt")
+    if count is None:
+        counted, count = rows.groupBy(*on).agg(F.count("*").alias("_count")), "_count"
+    else:
+        counted = side
+    hot = F.broadcast(counted.filter(F.col(count) > least).select(*on, F.ceil(F.col(count) / least).cast("int").alias("_tasks")))
+    dealt = rows.join(hot, on, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*by), F.col("_tasks")).cast("int"), F.lit(0)))
+    each = side.drop(count).join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_tasks", F.lit(1)) - 1)))
+    return dealt.drop("_tasks").join(each.drop("_tasks"), [*on, "_salt"], how).drop("_salt")
 
 
 #: Rows that a Python step holds at a time; Arrow hands over up to 10,000.
