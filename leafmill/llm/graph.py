@@ -8,41 +8,62 @@ from pyspark.sql import functions as F
 from .common import join_salted, materialize, release
 
 
+#: Up to so many nodes (16 bytes each) are broadcast to relabel others; more are joined by shuffling.
+BROADCAST_NODES = 500_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b); the root is the component's smallest node.
 
-    Every round each root hooks to its smallest neighbour, chains of hooks are halved, and
-    the edges are relabelled, so that they shrink quickly; a star takes one round.
-    The edges of a node of many, and the nodes of a large component, are dealt to several
-    tasks wherever they meet their hooks.
+    Every round each node hooks to its smallest neighbour, hooks are followed to their ends
+    by doubling, and the edges are relabelled, so that they shrink quickly; a star takes
+    one round.  The edges of a node of many are dealt to several tasks.
     """
     both = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = materialize(both(edges.filter("a <> b")).distinct(), "edges")
     labels: DataFrame | None = None
     while n := edges.count():
         hook = edges.groupBy("a").agg(F.min("b").alias("p"), F.count("*").alias("c")).select("a", F.least("a", "p").alias("p"), "c")
-        hook = materialize(_halved(hook, n), "hooks")
+        hook = _followed(materialize(hook, "hooks"))
+        own = hook.select(F.col("a").alias("node"), F.col("p").alias("root"))
         if labels is None:
-            new = materialize(hook.select(F.col("a").alias("node"), F.col("p").alias("root")), "labels")
+            labels = materialize(own, "labels")
         else:
-            sizes = labels.groupBy("root").agg(F.count("*").alias("c"))
-            up = hook.select(F.col("a").alias("root"), "p").join(sizes, "root")
-            new = join_salted(labels, up, ["root"], "c", labels.count(), ["node"], "left").select("node", F.coalesce("p", "root").alias("root"))
-            new = materialize(new, "labels")
+            moved = own.select(F.col("node").alias("root"), F.col("root").alias("r")).filter("root <> r")
+            new = materialize(_relabelled(labels, moved, "root", "r"), "labels")
+            release(labels)
+            labels = new
         # an edge is there in both directions, so a node is as often an end as a start
         ends = lambda x, y: hook.select(F.col("a").alias(x), F.col("p").alias(y), "c")
         moved = join_salted(edges, ends("a", "p"), ["a"], "c", n, ["b"]).select("p", "b")
         moved = join_salted(moved, ends("b", "q"), ["b"], "c", n, ["p"]).select(F.col("p").alias("a"), F.col("q").alias("b"))
         left = materialize(moved.filter("a <> b").distinct(), "edges")
-        release(labels, edges, hook)
-        labels, edges = new, left
+        release(edges, hook)
+        edges = left
     if labels is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     release(edges)
     return labels
 
 
-def _halved(hook: DataFrame, n: int) -> DataFrame:
-    below = hook.groupBy("p").agg(F.count("*").alias("d"))
-    up = hook.select(F.col("a").alias("p"), F.col("p").alias("q")).join(below, "p")
-    return join_salted(hook, up, ["p"], "d", n, ["a"]).select("a", F.col("q").alias("p"), "c")
+def _relabelled(rows: DataFrame, moved: DataFrame, old: str, new: str) -> DataFrame:
+    """``rows`` with the values of ``old`` that ``moved`` (old, new) holds replaced."""
+    moved = F.broadcast(moved) if moved.count() <= BROADCAST_NODES else moved
+    return rows.join(moved, old, "left").withColumn(old, F.coalesce(new, old)).select(*rows.columns)
+
+
+def _followed(hook: DataFrame) -> DataFrame:
+    """``hook`` (a, p, c), materialized, with every p an end of hooks.
+
+    Only the parents are looked up, each once, and only those that have parents of their
+    own move; in stars there are none.
+    """
+    while True:
+        up = hook.filter("a <> p").select(F.col("a").alias("p"), F.col("p").alias("q"))
+        moving = materialize(hook.select("p").distinct().join(up, "p"), "moving")
+        if moving.isEmpty():
+            release(moving)
+            return hook
+        nxt = materialize(_relabelled(hook, moving, "p", "q"), "hooks")
+        release(hook, moving)
+        hook = nxt

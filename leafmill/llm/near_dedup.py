@@ -288,17 +288,19 @@ def _connected(docs: DataFrame, classes: DataFrame, repeated: bool, percent: int
     return labels if labels is not None else components(lists.select(F.col("u").alias("a"), F.col("u").alias("b")))
 
 
-def _with(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
-    """``pairs`` (a, b, ...) with a column of both classes; a centre's row goes to the tasks that its members are dealt to."""
+def _with(pairs: DataFrame, n: int, of: DataFrame, column: str) -> DataFrame:
+    """The ``n`` ``pairs`` (a, b, ...) with a column of both classes; a centre's row goes to the tasks that its members are dealt to."""
+    ids = pairs.select(F.col("a").alias("u")).unionByName(pairs.select(F.col("b").alias("u"))).distinct()
+    if 2 * n <= BROADCAST_IDS:  # what no pair asks for isn't shuffled
+        of = of.join(F.broadcast(ids), "u", "left_semi")
     one = lambda x: of.select(F.col("u").alias(x), F.col(column).alias(f"{column}_{x}"))
-    heads = pairs.groupBy("b").agg(F.count("*").alias("_c"))
-    return join_salted(pairs.join(one("a"), "a"), one("b").join(heads, "b"), ["b"], "_c", pairs.count(), ["a"])
+    return join_salted(pairs.join(one("a"), "a"), one("b"), ["b"], None, n, ["a"])
 
 
 def _judged(pairs: DataFrame, small: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b, star, linked, close and, for stars, the sizes and differences of the pairs that the estimate lets through."""
     pairs = materialize(pairs, "pairs")
-    near = _with(pairs, small, "sketch")
+    near = _with(pairs, pairs.count(), small, "sketch")
     union = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, SKETCH)
     both = F.array_intersect("sketch_a", "sketch_b")
     shared, of = F.size(F.array_intersect(both, F.col("_union"))), F.size("_union")
@@ -306,13 +308,14 @@ def _judged(pairs: DataFrame, small: DataFrame, sets: DataFrame, percent: int) -
         F.when(F.col("star"), shared >= FAR * of).otherwise(shared * SKETCH >= _overlap(percent) * of)
     ).select("a", "b", "star")
     near = materialize(near.distinct(), "near")
-    full = _with(near, sets, "set")
+    full = _with(near, near.count(), sets, "set")
     full = full.withColumn("_i", F.size(F.array_intersect("set_a", "set_b")).cast("long"))
     full = full.withColumn("_u", F.size("set_a") + F.size("set_b") - F.col("_i"))
     linked = F.col("_i") * 100 >= F.col("_u") * percent
     mine = lambda c: F.when(F.col("star"), c)
+    mid = F.col("_i") >= F.col("_u") * CLOSE
     out = full.select(
-        "a", "b", "star", linked.alias("linked"), (F.col("_i") * 100 >= F.col("_u") * (100 * CLOSE + 100 - percent)).alias("close"), F.size("set_a").cast("long").alias("n"),
+        "a", "b", "star", linked.alias("linked"), mid.alias("mid"), (F.col("_i") * 100 >= F.col("_u") * (100 * CLOSE + 100 - percent)).alias("close"), F.size("set_a").cast("long").alias("n"),
         mine(F.array_except("set_a", "set_b")).alias("more"), mine(F.array_except("set_b", "set_a")).alias("less"),
     )
     out = materialize(out, "judged")
@@ -332,12 +335,19 @@ def _differences(stars: DataFrame, labels: DataFrame, percent: int, turn: int) -
     for both if both are far.
     """
     d = 1 - percent / 100
-    act = ~F.col("linked") & F.col("close")
-    own = stars.join(labels.withColumnsRenamed({"node": "a", "root": "r"}), "a", "left").withColumn("r", F.coalesce("r", "a"))
-    far = own.groupBy("b").agg(F.min("r").alias("lo"), F.max("r").alias("hi"), F.count_if(act).alias("f")).filter("f > 0 and lo < hi")
-    space = F.xxhash64(F.lit(turn), "b")
-    of = stars.withColumn("space", space).join(F.broadcast(far.select(space.alias("space"))) if far.count() <= BROADCAST_IDS else far.select(space.alias("space")), "space", "left_semi")
-    of = of.select("space", F.col("a").alias("u"), "n", act.alias("act"), "more", "less", F.concat("more", "less").alias("diff"))
+    root = lambda x, r: labels.select(F.col("node").alias(x), F.col("root").alias(r))
+    heads = stars.select("b").distinct().join(root("b", "rb"), "b", "left").select("b", F.coalesce("rb", "b").alias("rb"))
+    own = stars.join(root("a", "ra"), "a", "left").withColumn("ra", F.coalesce("ra", "a"))
+    own = join_salted(own, heads, ["b"], None, stars.count(), ["a"])
+    own = own.withColumn("out", F.col("ra") != F.col("rb")).withColumn("space", F.xxhash64(F.lit(turn), "b"))
+    own = materialize(own.select("space", F.col("a").alias("u"), "n", "linked", "close", "mid", "out", "more", "less"), "stars")
+    # a far member that has met its centre's component matters only to those hardly similar to the centre
+    mids = own.filter("mid and not close and out").select("space").distinct().withColumn("some", F.lit(True))
+    own = own.join(F.broadcast(mids) if mids.count() <= BROADCAST_IDS else mids, "space", "left")
+    own = own.withColumn("act", ~F.col("linked") & F.col("close") & (F.col("out") | F.col("some").isNotNull()))
+    far = own.filter("act").select("space").distinct()
+    of = own.join(F.broadcast(far) if far.count() <= BROADCAST_IDS else far, "space", "left_semi")
+    of = of.withColumn("diff", F.concat("more", "less"))
     half = F.size("diff") - F.floor((F.size("more") * (1 - d) + F.size("less")) / 2 - 1e-9)
     long = F.least(F.size("diff").cast("long"), F.floor(F.col("n") * (d / (1 - d)) + 1e-9) + 1)
     lim = F.when(F.col("act"), F.greatest(half, long)).otherwise(half)
@@ -346,7 +356,7 @@ def _differences(stars: DataFrame, labels: DataFrame, percent: int, turn: int) -
     # differences that no far member shares are passed over, as the rarest
     common = each.groupBy("at").agg(F.count("*").alias("df"), F.count_if("act").alias("f")).filter("df > 1 and f > 0").select("at", "df", F.col("df").alias("c"))
     common = materialize(common, "common")
-    met = join_salted(each, common, ["at"], "c", of.agg(F.sum(F.size("diff"))).first()[0] or 0, ["u"]).groupBy("space", "u", "n", "k", "lim").agg(_rarest_first())
+    met = join_salted(each, common, ["at"], "c", common.agg(F.sum("c")).first()[0] or 0, ["u"]).groupBy("space", "u", "n", "k", "lim").agg(_rarest_first())
     return _values(met, F.col("space"), F.col("lim") - F.col("k") + F.size("s"), F.col("k") - F.col("n") * (d / (2 - d)))
 
 
