@@ -218,6 +218,14 @@ def domain_duplicates_ad(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.filter(F.array_contains("classes", "ad")).select("domain", "content", "occurrences")
 
 
+@query(f"""WITH n AS (SELECT {_HOST} AS domain, count(DISTINCT url) AS n_pages FROM pages GROUP BY 1),
+r AS (SELECT domain, count(*) AS n FROM (SELECT domain, content FROM ({_LINKS}) GROUP BY ALL HAVING count(*) > 1) GROUP BY domain)
+SELECT domain, n_pages, n_pages >= 2 AS analyzed, CASE WHEN n_pages >= 2 THEN coalesce(n, 0) END AS n_duplicates FROM n LEFT JOIN r USING (domain)""")
+def domain_duplicate_summary_nav(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _table(spark, sf_dir, "pages")
+    return duplicates.domain_summary(p, duplicates.domain_duplicates(p).filter("tag = 'a'"))
+
+
 @query()
 def domain_duplicate_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _table(spark, sf_dir, "pages")
@@ -373,7 +381,7 @@ def site_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site.run(_table(spark, sf_dir, "pages")).report
 
 
-@query()
+@query(SQL["template_element_paths"])
 def site_prep_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = site.run(_cards(spark, sf_dir), prep=True).findings
     return found.select("domain", template_paths.path_text().alias("path"), "template_pattern")
