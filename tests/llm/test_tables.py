@@ -439,3 +439,71 @@ def test_near_dedup_in_turns(spark):
                 parent[b] = a
     d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(own)], "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in near_dedup.groups(d).collect()} == {i: root(i) for i in range(len(own))}
+
+
+def test_pipeline_against_force(spark, tmp_path):
+    """The filtering stages by plain loops, given the trained network."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    from .test_small import hits_by_force
+
+    rows = [(i, t, "en" if i % 2 else "de") for i, t in texts() if i not in (None, 26, 27, 28)]
+    own = dict((i, t) for i, t, _ in rows)
+    rows += [(40, own[15] + " mail a@b.org", "en"), (41, " ".join(own[16].split()[60:75] + WORDS * 2) + " call 10.0.0.1 or c@d.org", "de"), (42, own[1] + " w7", "en")]
+    d = str(tmp_path)
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{d}/documents.parquet")
+    item = " ".join(own[16].split()[60:80])
+    spark.createDataFrame([(1, own[15]), (2, item)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    m = lang_id.train(docs, F.lit(True))
+    texts_in = {i: t for i, t, _ in rows if t and any(c.isalpha() for c in t)}
+    best, score = lang_id.Predictor(m).languages([t.encode() for t in texts_in.values()])
+    left = {i: t for (i, t), s in zip(texts_in.items(), score) if s >= lang_id.LEAST_SCORE}
+    sets, parent = {}, {i: i for i in left}
+    for i, t in left.items():
+        w = t.lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+    def root(i):
+        return i if parent[i] == i else root(parent[i])
+
+    for i in left:
+        for j in left:
+            if j < i and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    left = {i: t for i, t in left.items() if root(i) == i}
+    items = [(k, decontaminate.words_of(t.encode())) for k, t in ((1, own[15]), (2, item))]
+    for i, t in [*left.items()]:
+        w = decontaminate.words_of(t.encode())
+        hit, _ = hits_by_force(w, items, 13)
+        if hit and 20 * len(hit) >= len(w):
+            del left[i]
+            continue
+        while hit:
+            at = [x.span() for x in decontaminate._WORD.finditer(t.encode())]
+            raw, out, end = t.encode(), [], 0
+            for k in sorted(hit):
+                if k - 1 not in hit:
+                    out.append(raw[end : at[k][0]])
+                end = at[k][1]
+            t = b"\n".join([*out, raw[end:]]).decode()
+            hit, _ = hits_by_force(decontaminate.words_of(t.encode()), items, 13)
+        left[i] = t
+    spots, counts = {i: pii._all(t) for i, t in left.items()}, {}
+    for s in (x for v in spots.values() for x in v):
+        k = (s["kind"], s["votes"], pii._length_class((s["start"], s["end"], s["kind"])), int(s["base"]))
+        counts[k] = counts.get(k, 0) + 1
+    w = pii.fit(sorted((*k, n) for k, n in counts.items()))
+    want = {i: pii.mask(t, pii._decided(spots[i], w)) for i, t in left.items()}
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, now, d).write.parquet(f"{d}/{name}")
+        now = spark.read.parquet(f"{d}/{name}")
+    assert {r.doc_id: r.text for r in now.collect()} == want and 41 in want and "[EMAIL]" in want[41]
+    got = corpus_pipeline.run(spark, d).collect()
+    count = token_counts.encoder(token_counts.VOCABULARY)
+    length = {i: sum(r.length for r in got if r.doc_id == i) for i in want}
+    assert length == {i: count(t) for i, t in want.items()} and {r.doc_id for r in got} == set(want)
+    assert len({(r.bin_id, r.pos) for r in got if r.bin_id is not None}) == len([r for r in got if r.bin_id is not None])
