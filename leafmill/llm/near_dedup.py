@@ -155,6 +155,7 @@ def _values(met: DataFrame, space: Column, lim: Column, order: Column) -> DataFr
 
 
 _TAIL = "array<struct<p:int,x:bigint>>"
+_LIST = ("key", "space", "u", "order", "seq", "room", "cap", "tail")
 
 
 def _listed(ranked: DataFrame) -> DataFrame:
@@ -178,7 +179,7 @@ def _refined(lists: DataFrame, done: DataFrame, ranked: DataFrame) -> DataFrame:
     so the next is among as many as were listed for the first.  A value that all members
     of a list have, its centre too, is taken as shared and splits nothing.
     """
-    lists = lists.select("key", "space", "u", "order", "seq", "room", "cap", "tail")
+    lists = lists.select(*_LIST)
     own = ranked.select("space", "u", "s")
     new = lists.filter("tail is null").join(own, ["space", "u"]).withColumn("tail", F.slice("s", F.col("seq")[0] + 2, F.size("s"))).drop("s")
     rows = materialize(new.unionByName(lists.filter("tail is not null")), "tails")
@@ -220,7 +221,7 @@ def _met(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
     about = materialize(about.select("best.key", "size", "best.centre", "best.least", F.col("size").alias("c")), "about")
     out = join_salted(own, about, ["key"], "c", own.count(), ["u"])
     # by differences, 2 * shared >= order + order makes a link, so some can't have any
-    out = materialize(out.filter((F.col("space") == 0) | (F.col("order") + F.col("least") <= 2 * F.col("cap") + 1e-6)), "lists")
+    out = materialize(out.filter((F.col("space") == 0) | (F.col("u") == F.col("centre")) | (F.col("order") + F.col("least") <= 2 * F.col("cap") + 1e-6)), "lists")
     release(own, about)
     return out
 
@@ -268,9 +269,11 @@ def _connected(docs: DataFrame, classes: DataFrame, repeated: bool, percent: int
         elif not links.isEmpty():
             labels, old = components(links.unionByName(labels.select(F.col("node").alias("a"), F.col("root").alias("b")))), labels
             release(old)
+        # the long lists in which components still meet, with the centres that they had
+        many = _met(many.select(*_LIST), labels)
         if many.isEmpty():
             break
-        # what is left of the long lists; in those by differences, nobody but the centre is done
+        # what is left of them; in those by differences, nobody but the centre is done
         stars = judged.filter("star").drop("star")
         at = many.filter("u <> centre and space = 0").select(F.col("u").alias("a"), F.col("centre").alias("b")).distinct()
         at = at.join(stars, ["a", "b"])
@@ -281,7 +284,7 @@ def _connected(docs: DataFrame, classes: DataFrame, repeated: bool, percent: int
         if apart is not None:
             left, ranked = left.unionByName(_listed(apart)), ranked.unionByName(apart)
         split, left = left, _met(left, labels)
-        release(judged, lists, split)
+        release(judged, lists, many, split)
         lists = left
         turn += 1
     release(sets, small)
