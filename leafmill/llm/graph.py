@@ -35,8 +35,12 @@ def components(edges: DataFrame) -> DataFrame:
             labels = new
         # an edge is there in both directions, so a node is as often an end as a start
         ends = lambda x, y: hook.select(F.col("a").alias(x), F.col("p").alias(y), "c")
-        moved = join_salted(edges, ends("a", "p"), ["a"], "c", n, ["b"]).select("p", "b")
-        moved = join_salted(moved, ends("b", "q"), ["b"], "c", n, ["p"]).select(F.col("p").alias("a"), F.col("q").alias("b"))
+        if hook.count() <= BROADCAST_NODES:
+            moved = edges.join(F.broadcast(ends("a", "p").drop("c")), "a").join(F.broadcast(ends("b", "q").drop("c")), "b")
+        else:
+            moved = join_salted(edges, ends("a", "p"), ["a"], "c", n, ["b"])
+            moved = join_salted(moved, ends("b", "q"), ["b"], "c", n, ["p"])
+        moved = moved.select(F.col("p").alias("a"), F.col("q").alias("b"))
         left = materialize(moved.filter("a <> b").distinct(), "edges")
         release(edges, hook)
         edges = left

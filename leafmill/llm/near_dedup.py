@@ -67,6 +67,8 @@ FAR = 0.06
 CLOSE = 0.25
 #: Up to so many ids (8 bytes each) are broadcast to fetch texts; more are joined by shuffling.
 BROADCAST_IDS = 500_000
+#: Up to so many pairs of classes (17 bytes each) are broadcast to fetch what they are judged by.
+BROADCAST_PAIRS = 100_000
 
 
 @functools.cache
@@ -137,7 +139,7 @@ def _ranked(classes: DataFrame, percent: int) -> DataFrame:
     each = classes.select("sig", "u", "n", F.size("sketch").alias("kept"), F.explode("sketch").alias("x"))
     common = materialize(each.groupBy("x").agg(F.count("*").alias("df")).filter("df > 1").withColumn("c", F.col("df")), "common")
     n = classes.agg(F.sum(F.size("sketch"))).first()[0] or 0
-    met = join_salted(each, common, ["x"], "c", n, ["sig"]).groupBy("sig", "u", "n", "kept").agg(_rarest_first())
+    met = _meet(each, common, ["x"], n, ["sig"]).groupBy("sig", "u", "n", "kept").agg(_rarest_first())
     # values that nobody else retains are rarer, and come first
     lim = _prefix(F.col("n"), percent) - (F.col("kept") - F.size("s"))
     # the centre's values are the most widely shared
@@ -191,9 +193,9 @@ def _refined(lists: DataFrame, done: DataFrame, ranked: DataFrame) -> DataFrame:
     cut = join_salted(rows.join(done, ["key", "u"], "left_anti"), gone, ["key"], "m", n, ["u"], "left").withColumn("tail", F.when(F.col("gone").isNull(), F.col("tail")).otherwise(rest)).drop("gone")
     cut = materialize(cut, "tails")
     each = cut.select("key", "u", F.posexplode(F.slice("tail", F.lit(1), F.greatest(F.lit(0), F.col("room")))).alias("j", "v")).select("key", "u", "j", "v.p", "v.x")
-    some = counts.filter("df < m").select(F.xxhash64("key", "x").alias("next"), "df")
-    total = some.agg(F.sum("df")).first()[0] or 0
-    met = join_salted(each.withColumn("next", F.xxhash64("key", "x")), some, ["next"], "df", total, ["u"]).drop("x")
+    some = counts.filter("df < m").select(F.xxhash64("key", "x").alias("next"), F.col("df").alias("c"))
+    total = some.agg(F.sum("c")).first()[0] or 0
+    met = _meet(each.withColumn("next", F.xxhash64("key", "x")), some, ["next"], total, ["u"]).drop("x")
     out = met.join(cut, ["key", "u"]).select(
         F.col("next").alias("key"), "space", "u", "order", F.concat("seq", F.array("p")).alias("seq"), (F.col("room") - F.col("j")).alias("room"), (F.col("cap") - F.col("j")).alias("cap"),
         F.slice("tail", F.col("j") + 2, F.size("tail")).alias("tail"),
@@ -211,7 +213,9 @@ def _met(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         own = lists.withColumn("root", F.col("u"))
     else:
-        own = lists.join(labels.withColumnsRenamed({"node": "u", "root": "r"}), "u", "left").withColumn("root", F.coalesce("r", "u")).drop("r")
+        known = labels.select(F.col("node").alias("u"), F.col("root").alias("r"))
+        known = F.broadcast(known) if labels.count() <= BROADCAST_IDS else known
+        own = lists.join(known, "u", "left").withColumn("root", F.coalesce("r", "u")).drop("r")
         own = materialize(own, "lists")
     about = own.groupBy("key").agg(
         F.count("*").alias("size"), F.min_by("u", F.struct("order", "u")).alias("centre"), F.min("order").alias("least"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.first("space").alias("space"),
@@ -219,7 +223,7 @@ def _met(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
     ).filter("lo < hi")
     about = about.groupBy("space", "size", "h1", "h2", F.size("first.seq")).agg(F.min(F.struct("first.seq", "key", "centre", "least")).alias("best"))
     about = materialize(about.select("best.key", "size", "best.centre", "best.least", F.col("size").alias("c")), "about")
-    out = join_salted(own, about, ["key"], "c", own.count(), ["u"])
+    out = _meet(own, about, ["key"], own.count(), ["u"])
     # by differences, 2 * shared >= order + order makes a link, so some can't have any
     out = materialize(out.filter((F.col("space") == 0) | (F.col("u") == F.col("centre")) | (F.col("order") + F.col("least") <= 2 * F.col("cap") + 1e-6)), "lists")
     release(own, about)
@@ -292,14 +296,25 @@ def _connected(docs: DataFrame, classes: DataFrame, repeated: bool, percent: int
 
 
 def _with(pairs: DataFrame, n: int, of: DataFrame, column: str) -> DataFrame:
-    """The ``n`` ``pairs`` (a, b, ...) with a column of both classes; a centre's row goes to the tasks that its members are dealt to."""
-    ids = pairs.select(F.col("a").alias("u")).unionByName(pairs.select(F.col("b").alias("u"))).distinct()
-    if 2 * n <= BROADCAST_IDS:  # what no pair asks for isn't shuffled
-        of = of.join(F.broadcast(ids), "u", "left_semi")
+    """The ``n`` ``pairs`` (a, b, star) with a column of both classes.
+
+    Some pairs are broadcast, so that nothing is shuffled but what they ask for; of more,
+    a centre's row goes to the tasks that its members are dealt to.
+    """
     one = lambda x: of.select(F.col("u").alias(x), F.col(column).alias(f"{column}_{x}"))
+    if n <= BROADCAST_PAIRS:
+        all_ = F.broadcast(pairs)
+        return one("a").join(all_, "a").join(one("b").join(all_, "b"), ["a", "b", "star"])
     return join_salted(pairs.join(one("a"), "a"), one("b"), ["b"], None, n, ["a"])
 
 
+def _meet(rows: DataFrame, side: DataFrame, on: list[str], n: int, by: list[str]) -> DataFrame:
+    """``rows`` with a narrow, written ``side`` whose ``c`` counts each key's rows: broadcast if it is small, else as ``join_salted``."""
+    if side.count() <= BROADCAST_IDS:
+        return rows.join(F.broadcast(side.drop("c")), on)
+    return join_salted(rows, side, on, "c", n, by)
+
+
 def _judged(pairs: DataFrame, small: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b, star, linked, close and, for stars, the sizes and differences of the pairs that the estimate lets through."""
     pairs = materialize(pairs, "pairs")
@@ -359,7 +374,7 @@ def _differences(stars: DataFrame, labels: DataFrame, percent: int, turn: int) -
     # differences that no far member shares are passed over, as the rarest
     common = each.groupBy("at").agg(F.count("*").alias("df"), F.count_if("act").alias("f")).filter("df > 1 and f > 0").select("at", "df", F.col("df").alias("c"))
     common = materialize(common, "common")
-    met = join_salted(each, common, ["at"], "c", common.agg(F.sum("c")).first()[0] or 0, ["u"]).groupBy("space", "u", "n", "k", "lim").agg(_rarest_first())
+    met = _meet(each, common, ["at"], common.agg(F.sum("c")).first()[0] or 0, ["u"]).groupBy("space", "u", "n", "k", "lim").agg(_rarest_first())
     return _values(met, F.col("space"), F.col("lim") - F.col("k") + F.size("s"), F.col("k") - F.col("n") * (d / (2 - d)))
 
 
