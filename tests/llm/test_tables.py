@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from leafmill.llm import ann, decontaminate, lang_id, near_dedup, packing, pii, suffix_dedup, token_counts, url_filter, warc
+from leafmill.llm import ann, decontaminate, graph, lang_id, near_dedup, packing, pii, suffix_dedup, token_counts, url_filter, warc
 from leafmill.llm.common import shared_root
 
 WORDS = [f"w{i}" for i in range(400)]
@@ -396,8 +396,13 @@ def test_packing_of_hot_ids(spark):
     assert got.filter("count > 1").count() == 0 and got.count() == 5000
 
 
-def test_near_families(spark):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_near_families(spark, monkeypatch, broadcast):
     """Families of copies far from each other's centre, as many links as pairs in each; links stay in proportion to rows."""
+    if not broadcast:
+        monkeypatch.setattr(near_dedup, "BROADCAST_IDS", 0)
+        monkeypatch.setattr(near_dedup, "BROADCAST_PAIRS", 0)
+        monkeypatch.setattr(graph, "BROADCAST_NODES", 0)
     r = random.Random(9)
     base = r.choices(WORDS, k=64)
     other = [*base[:30], "zz", *base[31:]]
@@ -412,6 +417,12 @@ def test_near_families(spark):
     assert {(r.doc_id < 150, r.component_id) for r in got} == {(True, 0), (False, 150)} and sum(seen) < 4 * len(rows)
 
 
+def test_components_of_chains_and_stars(spark):
+    edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(205, 203), (203, 204), (204, 205), (300, 300)]
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 160)} | {203: 203, 204: 203, 205: 203}
+
+
 def test_near_dedup_in_turns(spark):
     """Copies with few edits from few words: long lists in which most don't link, and shared passages."""
     r, words = random.Random(1), [f"v{i}" for i in range(3000)]
