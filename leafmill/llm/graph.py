@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from .common import join_salted, materialize, release
 
 #: Up to so many nodes (16 bytes each) are broadcast to relabel others; more are joined by shuffling.
 BROADCAST_NODES = 500_000
+#: Up to so many edges (16 bytes each) are joined up on the driver.
+DRIVER_EDGES = 200_000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,8 +21,14 @@ def components(edges: DataFrame) -> DataFrame:
 
     Every round each node hooks to its smallest neighbour, hooks are followed to their ends
     by doubling, and the edges are relabelled, so that they shrink quickly; a star takes
-    one round.  The edges of a node of many are dealt to several tasks.
+    one round.  The edges of a node of many are dealt to several tasks.  Few edges are
+    joined up on the driver.
     """
+    if edges.count() <= min(DRIVER_EDGES, BROADCAST_NODES):
+        some = edges.select("a", "b").toArrow()
+        node, root = _joined_up(some["a"].to_numpy(), some["b"].to_numpy())
+        found = pa.table({"node": pa.array(node, pa.int64()), "root": pa.array(root, pa.int64())})
+        return materialize(edges.sparkSession.createDataFrame(found), "labels")
     both = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = materialize(both(edges.filter("a <> b")).distinct(), "edges")
     labels: DataFrame | None = None
@@ -50,6 +60,22 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
+def _joined_up(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges between different nodes, and the smallest node of each one's component."""
+    a, b = a[a != b], b[a != b]
+    nodes, places = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, up = places[: len(a)], places[len(a) :], np.arange(len(nodes))
+    while len(x):
+        # each root hooks to the smallest that an edge shows it, so that roots only get smaller
+        lo, hi = np.minimum(x, y), np.maximum(x, y)
+        np.minimum.at(up, hi, lo)
+        while (up[up] != up).any():
+            up = up[up]
+        x, y = up[x], up[y]
+        x, y = x[x != y], y[x != y]
+    return nodes, nodes[up]
+
+
 def _relabelled(rows: DataFrame, moved: DataFrame, old: str, new: str) -> DataFrame:
     """``rows`` with the values of ``old`` that ``moved`` (old, new) holds replaced."""
     moved = F.broadcast(moved) if moved.count() <= BROADCAST_NODES else moved

@@ -12,18 +12,23 @@ their smallest doc_id.
    sets of up to ``_whole`` shingles are listed by an exact bound instead.
 3. Short lists give all their pairs.  A long list gives a star: its members against its
    centre, the member whose values are most widely shared.
-4. The union sketch estimates each pair's similarity and drops what can't be linked;
-   the exact Jaccard similarity of the full sets confirms the others.  The components of
-   what is linked so far are found, and a list whose members are in one goes.  Of lists
-   with the same members one is kept.
-5. What is left of a long list.  A far member x, one that isn't linked with the centre,
+4. Of a short list's pairs those are candidates whose sketches share enough values; of a
+   long list the whole star is.  The components of the candidates are families: no link
+   leaves one.  The sets of a family's classes are brought together, each of them once,
+   and ``family`` finds its links with their exact Jaccard similarity.  Families of more
+   than ``FAMILY`` shingles are too large for a task; the rest of this list is for them.
+5. In turns, the union sketch estimates the similarity of each pair of the short lists and
+   stars and drops what can't be linked; the exact similarity of the full sets confirms
+   the others.  The components of what is linked so far are found, and a list whose
+   members are in one goes.  Of lists with the same members one is kept.
+6. What is left of a long list.  A far member x, one that isn't linked with the centre,
    can link with y only if they share more than half of y's differences from the centre:
    else their differences would add up, and leave them as far from each other as x is
    from the centre.  So differences are listed, rarest first again and as many as such an
    overlap asks for.  In these lists, too, pairs are compared if they are short, and a
    star if they are long; so a family of copies that is far from the centre costs a
    star, not its pairs.
-6. What a star leaves, in a list by differences all but its centre and in a list by values
+7. What a star leaves, in a list by differences all but its centre and in a list by values
    those hardly similar to their centre, goes to shorter lists, by one more value or
    difference that a link must share.  Turns end when no list is left in which
    components meet.
@@ -48,6 +53,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import join_salted, materialize, release, sliced, table
+from .family import CLOSE, joined, linked_sets
 from .graph import components
 from .shingles import shingle_set
 
@@ -63,8 +69,8 @@ MISS = 1e-7
 SHORT = 32
 #: A star's pair is looked into if the estimate is at least this; below, the member stays in its list.
 FAR = 0.06
-#: A member this much more similar to the centre than what links with it must be leaves the list: that is looked into as well.
-CLOSE = 0.25
+#: Families of up to so many shingles (8 bytes each) are looked into by one task; larger ones in turns.
+FAMILY = 4_000_000
 #: Up to so many ids (8 bytes each) are broadcast to fetch texts; more are joined by shuffling.
 BROADCAST_IDS = 500_000
 #: Up to so many pairs of classes (17 bytes each) are broadcast to fetch what they are judged by.
@@ -109,22 +115,23 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, need: DataFrame, repeated: bool, words: int) -> DataFrame:
-    """u and its sorted shingles, of the classes in ``need`` (u, sig)."""
+    """f, u and its sorted shingles, of the classes in ``need`` (f, u, sig)."""
     n = need.count()
-    side = need.select(F.col("u").alias("doc_id"), "sig")
+    side = need.select("f", F.col("u").alias("doc_id"), "sig")
     texts = _texts(docs).join(F.broadcast(side) if n <= BROADCAST_IDS else side, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, sets = [], []
-            for u, t, sig in zip(*(b.column(x) for x in ("doc_id", "text", "sig")), strict=True):
+            of, ids, sets = [], [], []
+            for f, u, t, sig in zip(*(b.column(x) for x in ("f", "doc_id", "text", "sig")), strict=True):
                 s = shingle_set(t.as_py(), words)
                 if len(s) and hashlib.blake2b(s.tobytes(), digest_size=16).digest() == sig.as_py():
+                    of.append(f.as_py())
                     ids.append(u.as_py())
                     sets.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["u", "set"])
+            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["f", "u", "set"])
 
-    out = texts.mapInArrow(sliced(run), "u bigint, set array<bigint>")
+    out = texts.mapInArrow(sliced(run), "f bigint, u bigint, set array<bigint>")
     # rows that occur more than once would multiply pairs
     return out.dropDuplicates(["u", "set"]) if repeated else out
 
@@ -139,7 +146,8 @@ def _ranked(classes: DataFrame, percent: int) -> DataFrame:
     each = classes.select("sig", "u", "n", F.size("sketch").alias("kept"), F.explode("sketch").alias("x"))
     common = materialize(each.groupBy("x").agg(F.count("*").alias("df")).filter("df > 1").withColumn("c", F.col("df")), "common")
     n = classes.agg(F.sum(F.size("sketch"))).first()[0] or 0
-    met = _meet(each, common, ["x"], n, ["sig"]).groupBy("sig", "u", "n", "kept").agg(_rarest_first())
+    # shuffled whatever their number, so that what a small table moves tells what a large one will
+    met = join_salted(each, common, ["x"], "c", n, ["sig"]).groupBy("sig", "u", "n", "kept").agg(_rarest_first())
     # values that nobody else retains are rarer, and come first
     lim = _prefix(F.col("n"), percent) - (F.col("kept") - F.size("s"))
     # the centre's values are the most widely shared
@@ -240,12 +248,17 @@ def groups(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataF
     classes = materialize(known.groupBy("sig").agg(F.min("doc_id").alias("u"), least("n"), least("sketch"), F.count("*").alias("c")), "classes")
     repeated = not known.groupBy("doc_id").count().filter("count > 1").isEmpty()
     roots = _connected(docs, classes, repeated, percent, words)
-    # two classes may share their smallest doc_id, where rows share it
-    side = classes.select("sig", "u", "c").join(roots, F.col("u") == F.col("node"), "left").select("sig", F.coalesce("root", "u").alias("root"), "c")
-    of = join_salted(known.select("doc_id", "sig"), side, ["sig"], "c", known.count(), ["doc_id"])
-    best = of.groupBy("doc_id").agg(F.min("root").alias("component_id"))
-    named = rows.filter("doc_id is not null").select("doc_id", F.col("n").alias("n_shingles")).join(best, "doc_id", "left")
-    named = named.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    # what is alone in its class, and that in its component, is its own root
+    roots = roots.select(F.col("node").alias("u"), "root")
+    roots = F.broadcast(roots) if roots.count() <= BROADCAST_IDS else roots
+    side = classes.select("sig", "u", "c").join(roots, "u", "left").filter("c > 1 or root is not null").select("sig", F.coalesce("root", "u").alias("root"), "c")
+    named = rows.filter("doc_id is not null").select("doc_id", F.col("n").alias("n_shingles"), "sig")
+    named = _meet(named, materialize(side, "roots"), ["sig"], rows.count(), ["doc_id"], "left")
+    named = named.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
+    if repeated:
+        # two classes may share their smallest doc_id, where rows share it
+        best = named.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+        named = named.drop("component_id").join(best, "doc_id").select("doc_id", "n_shingles", "component_id")
     nameless = rows.filter("doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("bigint").alias("component_id"))
     out = named.unionByName(nameless)
     return out.withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
@@ -255,9 +268,57 @@ def _connected(docs: DataFrame, classes: DataFrame, repeated: bool, percent: int
     """node, root: the components of the classes that link with others; the root is the smallest class."""
     ranked = materialize(_ranked(classes, percent), "ranked")
     lists = _met(_listed(ranked), None)
-    need = lists.select("u").distinct().join(classes, "u").select("u", "sig")
-    sets = materialize(_full_sets(docs, need, repeated, words), "sets")
-    small = materialize(classes.select("u", "sketch").join(lists.select("u").distinct(), "u", "left_semi").dropDuplicates(["u", "sketch"]), "small")
+    listed = materialize(lists.select("u").distinct(), "listed")
+    few = listed.count() <= BROADCAST_IDS
+    small = classes.select("u", "sketch").join(F.broadcast(listed) if few else listed, "u", "left_semi")
+    small = materialize(small.dropDuplicates(["u", "sketch"]) if repeated else small, "small")
+    stars = lists.filter((F.col("size") > SHORT) & (F.col("u") != F.col("centre"))).select(F.col("u").alias("a"), F.col("centre").alias("b"))
+    edges = materialize(_candidates(lists, small, percent).unionByName(stars).distinct(), "candidates")
+    of = components(edges).select(F.col("node").alias("u"), F.col("root").alias("f"))
+    members = classes.select("u", "sig", "n").join(F.broadcast(of) if of.count() <= BROADCAST_IDS else of, "u")
+    members = materialize(members, "members")
+    large = materialize(members.groupBy("f").agg(F.sum("n").alias("n")).filter(F.col("n") > FAMILY).select("f"), "large")
+    sets = _full_sets(docs, members, repeated, words)
+    if large.isEmpty():
+        return materialize(_within(sets, percent), "families")
+    sets = materialize(sets, "sets")
+    labels = materialize(_within(sets.join(large, "f", "left_anti"), percent), "families")
+    inside = members.select("u", "f").join(large, "f", "left_semi").select("u").distinct()
+    rest = _in_turns(materialize(lists.join(inside, "u", "left_semi"), "lists"), ranked, small, sets.select("u", "set"), percent)
+    return labels.unionByName(rest)
+
+
+def _candidates(lists: DataFrame, small: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of classes in short lists that connect all whose sketches share enough values for a link."""
+    least = _overlap(percent)
+    rows = lists.filter(F.col("size") <= SHORT).select("key", "u").join(small, "u")
+    whole = rows.groupBy("key").agg(F.collect_list("u").alias("u"), F.collect_list("sketch").alias("sketch")).select("u", "sketch")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple[int, int]] = []
+            for us, sketch in zip(b.column("u").to_pylist(), b.column("sketch").to_pylist(), strict=True):
+                out += joined(us, [frozenset(s) for s in sketch], least, SKETCH)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return whole.mapInArrow(sliced(run), "a bigint, b bigint")
+
+
+def _within(sets: DataFrame, percent: int) -> DataFrame:
+    """node, root: the components of links within each family of ``sets`` (f, u, set)."""
+
+    def run(family: pa.Table) -> pa.Table:
+        family = family.combine_chunks()
+        u, s = family.column("u").to_numpy(), family.column("set").combine_chunks()
+        at, values = s.offsets.to_numpy(), s.values.to_numpy()
+        root = linked_sets(u, [values[i:j] for i, j in zip(at[:-1], at[1:], strict=True)], percent)
+        return pa.table({"node": pa.array(u, pa.int64()), "root": pa.array(root, pa.int64())})
+
+    return sets.groupBy("f").applyInArrow(run, "node bigint, root bigint").distinct()
+
+
+def _in_turns(lists: DataFrame, ranked: DataFrame, small: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """node, root: the components of links within ``lists``, by tables alone."""
     labels: DataFrame | None = None
     turn = 0
     while not lists.isEmpty():
@@ -291,7 +352,6 @@ def _connected(docs: DataFrame, classes: DataFrame, repeated: bool, percent: int
         release(judged, lists, many, split)
         lists = left
         turn += 1
-    release(sets, small)
     return labels if labels is not None else components(lists.select(F.col("u").alias("a"), F.col("u").alias("b")))
 
 
@@ -308,11 +368,11 @@ def _with(pairs: DataFrame, n: int, of: DataFrame, column: str) -> DataFrame:
     return join_salted(pairs.join(one("a"), "a"), one("b"), ["b"], None, n, ["a"])
 
 
-def _meet(rows: DataFrame, side: DataFrame, on: list[str], n: int, by: list[str]) -> DataFrame:
+def _meet(rows: DataFrame, side: DataFrame, on: list[str], n: int, by: list[str], how: str = "inner") -> DataFrame:
     """``rows`` with a narrow, written ``side`` whose ``c`` counts each key's rows: broadcast if it is small, else as ``join_salted``."""
     if side.count() <= BROADCAST_IDS:
-        return rows.join(F.broadcast(side.drop("c")), on)
-    return join_salted(rows, side, on, "c", n, by)
+        return rows.join(F.broadcast(side.drop("c")), on, how)
+    return join_salted(rows, side, on, "c", n, by, how)
 
 
 def _judged(pairs: DataFrame, small: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
