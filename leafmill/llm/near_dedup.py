@@ -52,7 +52,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_salted, materialize, release, sliced, table
+from .common import free, join_salted, materialize, release, sliced, table
 from .family import CLOSE, joined, linked_sets
 from .graph import components
 from .shingles import shingle_set
@@ -75,6 +75,10 @@ FAMILY = 4_000_000
 BROADCAST_IDS = 500_000
 #: Up to so many pairs of classes (17 bytes each) are broadcast to fetch what they are judged by.
 BROADCAST_PAIRS = 100_000
+#: Ids set a bit each, by their hash, among so many for each of them, and among 8 MB at most: a row whose bit isn't set has none of these ids.
+BITS, MOST_BITS = 32, 1 << 26
+#: Spark makes bitmaps of so many bits, a power of two.
+_BITMAP = 1 << 15
 
 
 @functools.cache
@@ -114,11 +118,30 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
 
+def _asked(rows: DataFrame, on: str, ids: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose ``on`` may be among the ``n`` written ``ids``, as all of these and few others, and the rows whose isn't.
+
+    Only bits are broadcast, so that long rows needn't be shuffled to learn that nothing
+    asks for them; with more ids than ``MOST_BITS`` is made for, more rows may be asked for.
+    """
+    size = min(MOST_BITS, max(_BITMAP, BITS * n))
+    at, bits, bit = (free(x, rows.columns) for x in ("_at", "_bits", "_bit"))
+    h = F.pmod(F.xxhash64(on), F.lit(size))
+    where, which = F.shiftright(h, _BITMAP.bit_length() - 1), h.bitwiseAND(F.lit(_BITMAP - 1))
+    # dealt by bitmap first: made before a shuffle, each task's bitmaps would be shuffled whole
+    marks = ids.select(where.alias(at), which.alias(bit)).repartition(at).groupBy(at).agg(F.bitmap_construct_agg(bit).alias(bits))
+    byte = F.conv(F.hex(F.substring(bits, F.shiftright(which, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    found = F.coalesce(F.getbit(byte, which.bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False))
+    all_ = rows.withColumn(at, where).join(F.broadcast(marks), at, "left")
+    return all_.filter(found).drop(at, bits), all_.filter(~found).drop(at, bits)
+
+
 def _full_sets(docs: DataFrame, need: DataFrame, repeated: bool, words: int) -> DataFrame:
     """f, u and its sorted shingles, of the classes in ``need`` (f, u, sig)."""
     n = need.count()
     side = need.select("f", F.col("u").alias("doc_id"), "sig")
-    texts = _texts(docs).join(F.broadcast(side) if n <= BROADCAST_IDS else side, "doc_id")
+    texts = _texts(docs)
+    texts = texts.join(F.broadcast(side), "doc_id") if n <= BROADCAST_IDS else _asked(texts, "doc_id", side, n)[0].join(side, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -448,8 +471,10 @@ def keep_one(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> Dat
     of = of.select(F.col("doc_id").alias(key), "component_id").join(rows.select(key, F.col("doc_id").cast("long").alias("id")), key)
     of = materialize(of, "components")
     best = of.groupBy("component_id", F.col("id").isNull()).agg(F.min(F.struct("id", key)).alias("best")).select(F.col(f"best.{key}").alias(key))
-    gone = of.select(key).join(best, key, "left_anti")
-    return rows.join(gone, key, "left_anti").select(*docs.columns)
+    gone = materialize(of.select(key).join(best, key, "left_anti"), "gone")
+    asked, others = _asked(rows, key, gone, gone.count())
+    # merged whatever their number, so that what a small table moves tells what a large one will
+    return others.unionByName(asked.join(gone.hint("merge"), key, "left_anti")).select(*docs.columns)
 
 
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

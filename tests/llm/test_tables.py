@@ -188,6 +188,41 @@ def test_keep_one_by_row(spark):
     assert sorted(kept, key=str) == sorted([(1, one), (5, two), (3, three), (None, "a b c"), (None, ""), (None, ""), (2, "")], key=str)
 
 
+def test_keep_one_leaves_texts_where_they_are(spark, tmp_path):
+    """Only the texts that may go are shuffled, not all, even where nothing is small enough for Spark to broadcast."""
+    r, sc = random.Random(8), spark.sparkContext._jsc.sc()
+    long = [" ".join(f"{r.getrandbits(64):x}" for _ in range(600)) for _ in range(200)]
+    spark.createDataFrame(list(enumerate(long + long[:10])), "doc_id long, text string").write.parquet(f"{tmp_path}/d")
+
+    def shuffled():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        none, quantiles = spark._jvm.java.util.ArrayList(), spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+        stages = sc.statusStore().stageList(none, False, False, quantiles, none)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = near_dedup.keep_one(spark.read.parquet(f"{tmp_path}/d"))
+        before = shuffled()
+        assert sorted(x.doc_id for x in kept.select("doc_id", "text").collect()) == list(range(200))
+        assert 0 < shuffled() - before < 0.25 * sum(map(len, long))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_asked(spark, monkeypatch):
+    """No id that is asked for is missed, and few others are taken, also where there are too few bits for them."""
+    rows = spark.createDataFrame([(i * 7919 - 10**6, i, i) for i in range(4000)] + [(None, 0, 0)], "id long, _at int, _bits int")
+    ids = rows.filter("_at % 4 = 1").select("id")
+    for bits, most in ((1 << 26, 150), (1 << 8, 3000)):  # 3000 others, a bit in 32 set: 94 expected
+        monkeypatch.setattr(near_dedup, "MOST_BITS", bits)
+        asked, others = near_dedup._asked(rows, "id", ids, 1000)
+        assert asked.columns == others.columns == rows.columns
+        a, o = {x["_bits"] for x in asked.collect() if x.id is not None}, {x["_bits"] for x in others.collect() if x.id is not None}
+        assert {i for i in range(4000) if i % 4 == 1} <= a and a.isdisjoint(o) and a | o == set(range(4000)) and len(a) - 1000 <= most
+        assert asked.count() + others.count() == 4001
+
+
 def test_nearest(spark):
     r = random.Random(3)
     rows = [(i, [r.gauss(0, 1) for _ in range(8)], "x") for i in range(300)]
